@@ -1,0 +1 @@
+"""Survey statistics on Spark: ingest, profile, clean, summarise, estimate, report."""

@@ -1,4 +1,455 @@
-"""Registered queries of the survey operators, and their SQL."""
+"""Registered queries of the survey operators, and their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The driver's tables hold no missing values, so queries on missing values plant them by rule, alike in both engines.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canvass.functions.columns import numeric_columns, round_even
+from canvass.functions.student import Z
+from canvass.operators import charts, clean, estimate, pivot, profile, schema
+from canvass.plans import narrative
+from canvass.sources import readers, sinks, synth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with missing values, types and users."""
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 20 != 0, F.col("value")).alias("value"),
+        F.when(F.col("event_id") % 15 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 33 != 0, F.col("event_type")).alias("event_type"),
+    )
+
+
+PLANTED = """planted AS (SELECT event_id, CASE WHEN event_id % 20 <> 0 THEN value END AS value,
+    CASE WHEN event_id % 15 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 33 <> 0 THEN event_type END AS event_type FROM events)"""
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({n: round_even(F.col(n), digits) for n in names})
+
+
+def changes(spark: SparkSession, found: list[clean.Change]) -> DataFrame:
+    return spark.createDataFrame([(c.step, c.column, c.found, c.changed) for c in found], "step string, column string, found long, changed long")
+
+
+@query(f"WITH {PLANTED} SELECT CAST(sum((event_id IS NULL)::INT + (value IS NULL)::INT + (user_id IS NULL)::INT + (event_type IS NULL)::INT) AS BIGINT) AS missing_count FROM planted")
+def profile_missing_cells(spark, sf_dir):
+    return profile.missing_cells(planted(spark, sf_dir))
+
+
+@query(
+    f"WITH {PLANTED} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing FROM planted" for c in ("event_id", "value", "user_id", "event_type"))
+)
+def profile_missing_by_column(spark, sf_dir):
+    return profile.missing_by_column(planted(spark, sf_dir))
+
+
+PAIRS = "pairs AS (SELECT event_id, event_type, CAST(floor(value) AS BIGINT) AS v FROM events)"
+
+
+def _pairs(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.floor("value").cast("long").alias("v"))
+
+
+@query(f"WITH {PAIRS} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM pairs GROUP BY event_type, v HAVING count(*) > 1)")
+def profile_duplicate_rows(spark, sf_dir):
+    return profile.duplicate_row_count(_pairs(spark, sf_dir).drop("event_id"))
+
+
+@query(f"WITH {PAIRS} SELECT event_id, event_type, v FROM (SELECT *, count(*) OVER (PARTITION BY event_type, v) AS n FROM pairs) WHERE n > 1")
+def profile_duplicate_row_members(spark, sf_dir):
+    return profile.duplicate_row_members(_pairs(spark, sf_dir), "event_id")
+
+
+@query("SELECT 'l_quantity == copy' AS pair WHERE (SELECT bool_and(l_quantity IS NOT DISTINCT FROM l_quantity) FROM lineitem)")
+def profile_duplicate_columns(spark, sf_dir):
+    return profile.duplicate_columns(table(spark, sf_dir, "lineitem").withColumn("copy", F.col("l_quantity")))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(11 AS BIGINT) AS col_count FROM lineitem")
+def profile_shape(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return df.agg(F.count("*").alias("row_count"), F.lit(len(df.columns)).cast("long").alias("col_count"))
+
+
+@query("SELECT c_custkey AS id, c_name, c_nationkey, c_acctbal AS balance, c_mktsegment FROM customer")
+def schema_rename(spark, sf_dir):
+    return schema.rename(table(spark, sf_dir, "customer"), {"c_custkey": "id", "c_acctbal": "balance", "absent": "x"})
+
+
+@query("SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS \"column\"")
+def schema_numeric_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in numeric_columns(table(spark, sf_dir, "lineitem"))], "column string")
+
+
+@query(f"WITH {PLANTED} SELECT event_id, round_even(coalesce(value, (SELECT avg(value) FROM planted)), 6) AS value FROM planted")
+def impute_mean(spark, sf_dir):
+    return rounded(clean.impute(planted(spark, sf_dir).select("event_id", "value"), "mean", ["value"])[0], "value", digits=6)
+
+
+@query(f"WITH {PLANTED} SELECT event_id, round_even(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM planted)), 6) AS value FROM planted")
+def impute_median(spark, sf_dir):
+    return rounded(clean.impute(planted(spark, sf_dir).select("event_id", "value"), "median", ["value"])[0], "value", digits=6)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_size END AS p_size FROM part),
+    m AS (SELECT p_size FROM p WHERE p_size IS NOT NULL GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1)
+    SELECT p_partkey, coalesce(p_size, (SELECT p_size FROM m)) AS p_size FROM p"""
+)
+def impute_mode(spark, sf_dir):
+    holed = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_size")).alias("p_size"))
+    return clean.impute(holed, "mode")[0]
+
+
+@query(f"WITH {PLANTED} SELECT event_id, value, user_id FROM planted WHERE value IS NOT NULL AND user_id IS NOT NULL")
+def impute_drop(spark, sf_dir):
+    return clean.impute(planted(spark, sf_dir).select("event_id", "value", "user_id"), "drop")[0]
+
+
+@query(
+    f"""WITH {PLANTED}, a AS (SELECT CASE WHEN value IS NULL THEN 'value' WHEN user_id IS NULL THEN 'user_id' END AS "column" FROM planted)
+    SELECT 'impute drop' AS step, "column", CAST(count(*) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS changed FROM a WHERE "column" IS NOT NULL GROUP BY "column" """
+)
+def impute_drop_counts(spark, sf_dir):
+    return changes(spark, clean.impute(planted(spark, sf_dir).select("value", "user_id"), "drop")[1])
+
+
+def _band(c: str, source: str) -> str:
+    q = f"(SELECT quantile_cont({c}, %s) FROM {source})"
+    a, b = q % "0.25", q % "0.75"
+    return f"{c} BETWEEN {a} - 1.5 * ({b} - {a}) AND {b} + 1.5 * ({b} - {a})"
+
+
+@query(f"SELECT event_id, value FROM events WHERE {_band('value', 'events')}")
+def outliers_iqr_single(spark, sf_dir):
+    return clean.remove_outliers(table(spark, sf_dir, "events").select("event_id", "value"), ["value"])[0]
+
+
+LINES = """lines AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 <> 0 THEN l_quantity END AS l_quantity,
+    l_extendedprice * l_extendedprice AS price, l_discount FROM lineitem)"""
+
+
+def _lines(spark, sf_dir):
+    price = (F.col("l_extendedprice") * F.col("l_extendedprice")).alias("price")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 50 != 0, F.col("l_quantity")).alias("l_quantity"), price, "l_discount")
+
+
+@query(f"WITH {LINES} SELECT * FROM lines WHERE {_band('l_quantity', 'lines')} AND {_band('price', 'lines')} AND {_band('l_discount', 'lines')}")
+def outliers_iqr_multi(spark, sf_dir):
+    return clean.remove_outliers(_lines(spark, sf_dir), ["l_quantity", "price", "l_discount"])[0]
+
+
+BALANCE = clean.Rules((clean.Range("c_acctbal", 0, 8000), clean.Range("c_nationkey", None, 19)))
+
+
+@query("SELECT * FROM customer WHERE c_acctbal BETWEEN 0 AND 8000 AND c_nationkey <= 19")
+def rules_range(spark, sf_dir):
+    return clean.apply_rules(table(spark, sf_dir, "customer"), BALANCE)[0]
+
+
+@query(
+    """WITH a AS (SELECT CASE WHEN NOT (c_acctbal BETWEEN 0 AND 8000) THEN '0: range c_acctbal' WHEN c_nationkey > 19 THEN '1: range c_nationkey' END AS "column" FROM customer)
+    SELECT 'rules' AS step, "column", CAST(count(*) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS changed FROM a WHERE "column" IS NOT NULL GROUP BY "column" """
+)
+def rules_range_sequential_counts(spark, sf_dir):
+    return changes(spark, clean.apply_rules(table(spark, sf_dir, "customer"), BALANCE)[1])
+
+
+@query(f"WITH {PLANTED} SELECT * FROM planted WHERE value IS NOT NULL AND event_type IS NOT NULL")
+def rules_mandatory(spark, sf_dir):
+    return clean.apply_rules(planted(spark, sf_dir), clean.Rules.of({"mandatory": ["value", "event_type", "absent"]}))[0]
+
+
+@query(
+    f"""WITH {PLANTED}, filled AS (SELECT event_id, coalesce(value, (SELECT avg(value) FROM planted)) AS value FROM planted),
+    inside AS (SELECT * FROM filled WHERE {_band('value', 'filled')} AND {_band('event_id', 'filled')})
+    SELECT event_id, round_even(value, 6) AS value FROM inside WHERE value BETWEEN 5 AND 100"""
+)
+def clean_pipeline(spark, sf_dir):
+    df = planted(spark, sf_dir).select("event_id", "value")
+    return rounded(clean.clean(df, "mean", True, clean.Rules((clean.Range("value", 5, 100),)))[0], "value", digits=6)
+
+
+def _grouped(select: str, keys: str = "l_returnflag", source: str = "lineitem") -> str:
+    return f"SELECT {keys}, {select} FROM {source} GROUP BY {keys}"
+
+
+@query(_grouped("round_even(avg(l_extendedprice), 4) AS l_extendedprice"))
+def pivot_mean(spark, sf_dir):
+    return rounded(pivot.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice"), "l_extendedprice")
+
+
+@query(_grouped("CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber"))
+def pivot_sum(spark, sf_dir):
+    return pivot.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", "sum")
+
+
+@query(_grouped("CAST(count(l_quantity) AS BIGINT) AS l_quantity"))
+def pivot_count(spark, sf_dir):
+    return pivot.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "count")
+
+
+@query(_grouped("round_even(avg(l_tax), 4) AS l_tax", "l_returnflag, l_linestatus"))
+def pivot_multi_key(spark, sf_dir):
+    return rounded(pivot.pivot(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_tax"), "l_tax")
+
+
+@query(_grouped("round_even(avg(l_discount), 4) AS l_discount, round_even(avg(l_quantity), 4) AS l_quantity"))
+def pivot_multi_value(spark, sf_dir):
+    return rounded(pivot.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"]), "l_discount", "l_quantity")
+
+
+@query(_grouped("max(l_quantity) AS l_quantity, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber", "l_returnflag, l_linestatus"))
+def pivot_per_column_agg(spark, sf_dir):
+    return pivot.pivot(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], agg={"l_quantity": "max", "l_linenumber": "sum"})
+
+
+@query(_grouped("CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber_sum, min(l_linenumber) AS l_linenumber_min"))
+def pivot_list_of_aggs(spark, sf_dir):
+    return pivot.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", ["sum", "min"])
+
+
+NULLED = f"{PLANTED}, nulled AS (SELECT event_id, event_type, CASE WHEN event_type <> 'click' THEN value END AS value FROM planted)"
+
+
+def _nulled(spark, sf_dir):
+    return planted(spark, sf_dir).select("event_id", "event_type", F.when(F.col("event_type") != "click", F.col("value")).alias("value"))
+
+
+@query(
+    f"""WITH {NULLED} SELECT event_type, round_even(coalesce(sum(value), 0), 2) AS value_sum, CAST(count(value) AS BIGINT) AS value_count
+    FROM nulled WHERE event_type IS NOT NULL GROUP BY event_type"""
+)
+def pivot_null_semantics(spark, sf_dir):
+    return rounded(pivot.pivot(_nulled(spark, sf_dir), "event_type", "value", ["sum", "count"]), "value_sum", digits=2)
+
+
+@query(f"WITH {NULLED} SELECT event_type, round_even(avg(value), 4) AS value FROM nulled WHERE event_type IS NOT NULL GROUP BY event_type HAVING count(value) > 0")
+def pivot_null_groups_dropped(spark, sf_dir):
+    return rounded(pivot.pivot(_nulled(spark, sf_dir), "event_type", "value", "mean"), "value")
+
+
+def _typed(select: str) -> str:
+    return f"WITH {PLANTED} SELECT event_type, {select} FROM planted WHERE event_type IS NOT NULL GROUP BY event_type"
+
+
+def _by_type(spark, sf_dir, agg, value="value"):
+    return pivot.pivot(planted(spark, sf_dir), "event_type", value, agg, row_id="event_id")
+
+
+@query(_typed("round_even(quantile_cont(value, 0.5), 4) AS value_median, round_even(quantile_cont(value, 0.5), 4) AS value_quantile"))
+def pivot_median(spark, sf_dir):
+    return rounded(_by_type(spark, sf_dir, ["median", "quantile"]), "value_median", "value_quantile")
+
+
+@query(_typed("min(value) AS value_min, max(value) AS value_max"))
+def pivot_min_max(spark, sf_dir):
+    return _by_type(spark, sf_dir, ["min", "max"])
+
+
+@query(_typed("round_even(stddev_samp(value), 4) AS value_std, round_even(var_samp(value), 2) AS value_var, round_even(stddev_samp(value) / sqrt(count(value)), 4) AS value_sem"))
+def pivot_std_var_sem(spark, sf_dir):
+    return rounded(rounded(_by_type(spark, sf_dir, ["std", "var", "sem"]), "value_std", "value_sem"), "value_var", digits=2)
+
+
+@query(_typed("CAST(count(DISTINCT user_id) AS BIGINT) AS user_id"))
+def pivot_nunique(spark, sf_dir):
+    return _by_type(spark, sf_dir, "nunique", "user_id")
+
+
+@query(_typed("arg_min(value, event_id) FILTER (WHERE value IS NOT NULL) AS value_first, arg_max(value, event_id) FILTER (WHERE value IS NOT NULL) AS value_last"))
+def pivot_first_last(spark, sf_dir):
+    return _by_type(spark, sf_dir, ["first", "last"])
+
+
+@query(_typed("bool_or(value <> 0) AS value_any, bool_and(value > -1e300 AND value <> 0) AS value_all"))
+def pivot_any_all(spark, sf_dir):
+    return _by_type(spark, sf_dir, ["any", "all"])
+
+
+@query(_typed("round_even(skewness(value), 4) AS value"))
+def pivot_skew(spark, sf_dir):
+    return rounded(_by_type(spark, sf_dir, "skew"), "value")
+
+
+@query(
+    f"""WITH {PLANTED}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS hi,
+    row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS lo FROM planted WHERE event_type IS NOT NULL AND value IS NOT NULL)
+    SELECT event_type, max(event_id) FILTER (WHERE hi = 1) AS value_idxmax, max(event_id) FILTER (WHERE lo = 1) AS value_idxmin FROM r GROUP BY event_type"""
+)
+def pivot_idxmax_idxmin(spark, sf_dir):
+    return _by_type(spark, sf_dir, ["idxmax", "idxmin"])
+
+
+@query("SELECT n_regionkey, round_even(product(n_nationkey + 1), 0) AS n FROM nation GROUP BY n_regionkey")
+def pivot_prod(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").select("n_regionkey", (F.col("n_nationkey") + 1).alias("n"))
+    return rounded(pivot.pivot(df, "n_regionkey", "n", "prod"), "n", digits=0)
+
+
+@query(
+    _typed(
+        """CAST(count(value) AS BIGINT) AS value_count, round_even(avg(value), 4) AS value_mean, round_even(stddev_samp(value), 4) AS value_std, min(value) AS value_min,
+        round_even(quantile_cont(value, 0.25), 4) AS "value_25%", round_even(quantile_cont(value, 0.5), 4) AS "value_50%", round_even(quantile_cont(value, 0.75), 4) AS "value_75%", max(value) AS value_max"""
+    )
+)
+def pivot_describe(spark, sf_dir):
+    return rounded(_by_type(spark, sf_dir, "describe"), "value_mean", "value_std", "value_25%", "value_50%", "value_75%")
+
+
+@query(
+    f"""WITH {PLANTED} SELECT event_id, round_even(CASE WHEN value IS NOT NULL THEN sum(value) OVER (PARTITION BY event_type ORDER BY event_id) END, 2) AS value
+    FROM planted WHERE event_type IS NOT NULL"""
+)
+def pivot_cumsum(spark, sf_dir):
+    return rounded(pivot.group_transform(planted(spark, sf_dir), ["event_type"], "value", "cumsum", "event_id"), "value", digits=2)
+
+
+@query(
+    f"""WITH {PLANTED} SELECT event_id, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY event_type ORDER BY value NULLS LAST)
+    + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 END AS value FROM planted WHERE event_type IS NOT NULL"""
+)
+def pivot_rank(spark, sf_dir):
+    return pivot.group_transform(planted(spark, sf_dir), ["event_type"], "value", "rank", "event_id")
+
+
+def _t(v: str) -> str:
+    z = repr(Z) + "e0"  # a double, not a decimal
+    p = lambda k: "*".join([z] * k)
+    return (
+        f"({z} + ({p(3)}+{z})/(4*({v})) + (5*{p(5)}+16*{p(3)}+3*{z})/(96*({v})*({v})) + (3*{p(7)}+19*{p(5)}+17*{p(3)}-15*{z})/(384*({v})*({v})*({v}))"
+        f" + (79*{p(9)}+776*{p(7)}+1482*{p(5)}-1920*{p(3)}-945*{z})/(92160*({v})*({v})*({v})*({v})))"
+    )
+
+
+def _estimate_sql(target: str, population: str = "CAST(NULL AS DOUBLE)") -> str:
+    return f"""SELECT '{target}' AS "column", CAST(n AS BIGINT) AS n_sample, round_even(size, 2) AS n_effective, round_even(mean, 4) AS mean, round_even(se, 4) AS std_error,
+        round_even({_t('size - 1')} * se, 4) AS margin_of_error, round_even(mean - {_t('size - 1')} * se, 4) AS ci_95_lower, round_even(mean + {_t('size - 1')} * se, 4) AS ci_95_upper,
+        round_even(mean * {population}, 2) AS population_estimate
+        FROM (SELECT any_value(n) AS n, any_value(size) AS size, any_value(m) AS mean,
+            sqrt(sum(l_quantity * ({target} - m) * ({target} - m)) / any_value(sw) * any_value(n) / (any_value(n) - 1)) / sqrt(any_value(size)) AS se
+            FROM lineitem, (SELECT count(*) AS n, sum(l_quantity) AS sw, sum(l_quantity) * sum(l_quantity) / sum(l_quantity * l_quantity) AS size,
+                sum(l_quantity * {target}) / sum(l_quantity) AS m FROM lineitem))"""
+
+
+def _estimates(spark, sf_dir, targets, population=None):
+    return estimate.weighted_estimates(table(spark, sf_dir, "lineitem"), targets, "l_quantity", population)
+
+
+@query("SELECT round_even(sum(l_quantity) * sum(l_quantity) / sum(l_quantity * l_quantity), 4) AS n_effective FROM lineitem")
+def weighted_ess(spark, sf_dir):
+    return rounded(estimate.effective_sample_size(table(spark, sf_dir, "lineitem"), "l_quantity"), "n_effective")
+
+
+@query(_estimate_sql("l_extendedprice"))
+def weighted_estimate(spark, sf_dir):
+    return _estimates(spark, sf_dir, ["l_extendedprice"])
+
+
+@query(" UNION ALL ".join(map(_estimate_sql, ("l_extendedprice", "l_discount", "l_tax"))))
+def weighted_estimate_multi(spark, sf_dir):
+    return _estimates(spark, sf_dir, ["l_extendedprice", "absent", "l_discount", "l_tax"])
+
+
+@query(_estimate_sql("l_extendedprice", "1000000.0"))
+def weighted_estimate_population(spark, sf_dir):
+    return _estimates(spark, sf_dir, ["l_extendedprice"], estimate.parse_population(" 1000000 "))
+
+
+@query(
+    """WITH s AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS sw, sum(l_quantity * l_quantity) AS sww, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS m FROM lineitem GROUP BY 1),
+    d AS (SELECT l_returnflag, sum(l_quantity * (l_extendedprice - m) * (l_extendedprice - m)) AS d FROM lineitem JOIN s USING (l_returnflag) GROUP BY 1),
+    e AS (SELECT l_returnflag, n, sw * sw / sww AS size, m, sqrt(d / sw * n / (n - 1) / (sw * sw / sww)) AS se FROM s JOIN d USING (l_returnflag))
+    SELECT l_returnflag, CAST(n AS BIGINT) AS n_sample, round_even(size, 2) AS n_effective, round_even(m, 4) AS mean, round_even(se, 4) AS std_error,
+    """
+    + f"round_even({_t('size - 1')} * se, 4) AS margin_of_error, round_even(m - {_t('size - 1')} * se, 4) AS ci_95_lower, round_even(m + {_t('size - 1')} * se, 4) AS ci_95_upper FROM e"
+)
+def weighted_estimate_by_group(spark, sf_dir):
+    return estimate.weighted_estimates_by(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+
+
+@query(
+    f"""SELECT "column", round_even(std_error / mean * 100, 1) AS cv, CASE WHEN std_error / mean * 100 < 5 THEN 'high' WHEN std_error / mean * 100 < 15 THEN 'moderate' ELSE 'low' END AS reliability
+    FROM ({_estimate_sql('l_extendedprice')} UNION ALL {_estimate_sql('l_tax')})"""
+)
+def weighted_reliability(spark, sf_dir):
+    return estimate.reliability(_estimates(spark, sf_dir, ["l_extendedprice", "l_tax"])).select("column", "cv", "reliability")
+
+
+@query(
+    """WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events), w AS (SELECT lo, (hi - lo) / 30 AS width FROM b),
+    c AS (SELECT least(CAST(floor((value - lo) / width) AS INT), 29) + 1 AS bin, count(*) AS n FROM events, w GROUP BY 1)
+    SELECT CAST(k AS INT) AS bin, round_even(lo + (k - 1) * width, 6) AS low, round_even(lo + k * width, 6) AS high, CAST(coalesce(n, 0) AS BIGINT) AS count
+    FROM (SELECT unnest(range(1, 31)) AS k) CROSS JOIN w LEFT JOIN c ON c.bin = k"""
+)
+def chart_histogram(spark, sf_dir):
+    return rounded(charts.histogram(table(spark, sf_dir, "events"), "value", 30), "low", "high", digits=6)
+
+
+@query()
+def chart_histogram_auto(spark, sf_dir):
+    return charts.histogram(table(spark, sf_dir, "events"), "value")
+
+
+@query()
+def chart_kde(spark, sf_dir):
+    return charts.density(table(spark, sf_dir, "events"), "value")
+
+
+def _box_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS "column", q1, median, q3, (SELECT min({c}) FROM lineitem WHERE {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
+        (SELECT max({c}) FROM lineitem WHERE {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
+        (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE NOT {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
+        FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3 FROM lineitem)"""
+
+
+BOXED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query('SELECT "column", round_even(q1, 4) AS q1, round_even(median, 4) AS median, round_even(q3, 4) AS q3, whisker_low, whisker_high, outliers FROM (' + " UNION ALL ".join(map(_box_sql, BOXED)) + ")")
+def chart_box_stats(spark, sf_dir):
+    return rounded(charts.box_stats(table(spark, sf_dir, "lineitem"), [*BOXED, "l_returnflag"]), "q1", "median", "q3")
+
+
+@query()
+def narrative_summary(spark, sf_dir):
+    return spark.createDataFrame([(narrative.summary(_estimates(spark, sf_dir, ["l_extendedprice", "l_tax"], 1e6), "lineitem"),)], "summary string")
+
+
+@query()
+def synth_survey(spark, sf_dir):
+    return synth.survey(spark)
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def csv_roundtrip(spark, sf_dir):
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/region_csv"
+    sinks.write_csv(table(spark, sf_dir, "region").coalesce(1), path, "overwrite")
+    return readers.read_csv(spark, path)
