@@ -25,6 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.llm.mph import MinimalPerfectHash
 
@@ -160,9 +161,9 @@ class Codec:
 
 
 def round_trip(docs: DataFrame, codec: Codec, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """docs with n_tokens, ids_sha256, decoded_sha256 added and, if asked for, ids; text itself is left out."""
+    """docs with n_tokens, ids_sha256, decoded_sha256 added and, if asked for, ids, in place of columns of those names; text itself is left out."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
     added = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,5 +180,5 @@ def round_trip(docs: DataFrame, codec: Codec, text: str = "text", with_ids: bool
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     shape = kept.schema
     for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "array<int>")] * with_ids)):
-        shape = shape.add(name, kind)
+        shape = shape.add(name, T.ArrayType(T.IntegerType()) if kind == "array<int>" else kind)
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(rows, shape)

@@ -123,7 +123,7 @@ def _occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs -> docs with base and spans added: base spans, and those with revealing terms, each sorted by start and kind."""
+    """docs -> docs with base and spans added, in place of columns of those names: base spans, and those with revealing terms, each sorted by start and kind."""
     scratch = Scratch(docs.sparkSession, "pii")
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumns({"content": F.xxhash64("text"), "row": F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))})
@@ -139,7 +139,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     scratch.drop("found", "contexts", "together", "candidates", "secrets", "flagged", "terms")
     row = F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))
     none = F.array().cast(_SPANS)
-    names = [c for c in docs.columns]
+    names = [c for c in docs.columns if c not in ("base", "spans")]
     out = docs.withColumn("__row", row).join(broadcast_if_small(known.select(F.col("row").alias("__row"), F.col("spans").alias("__base"), F.col("terms").alias("__terms")), known.count(), BROADCAST_ROWS), "__row", "left")
     base = F.coalesce("__base", none)
     # A term inside a base span is gone with it.
