@@ -114,7 +114,7 @@ def revealing_terms(contexts: DataFrame, docs: DataFrame, scratch: Scratch, supp
 
 def _occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """docs (doc_id, row, text), flagged (doc_id, terms) -> (row, terms: their spans)."""
-    words = docs.join(flagged, "doc_id").select("row", "terms", F.posexplode(F.split("text", r"[\x20\x09-\x0D]")).alias("at", "word"))
+    words = docs.join(flagged, "doc_id").dropDuplicates(["row"]).select("row", "terms", F.posexplode(F.split("text", r"[\x20\x09-\x0D]")).alias("at", "word"))
     before = F.sum(F.length("word") + 1).over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     placed = words.withColumns({"begin": F.coalesce(before, F.lit(0)), "term": _term(F.col("word"))}).where(F.array_contains("terms", F.col("term")))
     begin = F.col("begin") + F.length("word") - F.length(F.regexp_replace("word", r"^[^\p{L}\p{N}]+", ""))
@@ -133,7 +133,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     secrets = scratch.save("secrets", revealing_terms(contexts, own, scratch))
     flagged = contexts.where("doc_id is not null").join(secrets, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     flagged = scratch.save("flagged", flagged)
-    terms = _occurrences(own.select("doc_id", "row", "text").dropDuplicates(["row"]), broadcast_if_small(flagged, flagged.count(), BROADCAST_ROWS // 10))
+    terms = _occurrences(own.select("doc_id", "row", "text"), broadcast_if_small(flagged, flagged.count(), BROADCAST_ROWS // 10))
     known = found.select("row", "spans").dropDuplicates(["row"]).join(scratch.save("terms", terms), "row", "left")
     known = scratch.save("known", known)
     scratch.drop("found", "contexts", "together", "candidates", "secrets", "flagged", "terms")
