@@ -33,14 +33,15 @@ from canvass.llm.spans import U, mix
 
 NULL_KEY = -(2**63)
 #: Chunks of text remembered in a worker.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class LibraryEncoder:
-    """Encodes with the tokenizers library, each distinct chunk of text once.
+    """Encodes with the tokenizers library, each distinct chunk of text once, to packed little-endian ids.
 
     Valid for byte-level vocabularies whose pre-tokens do not cross from a visible character to white space, and
-    whose added tokens hold no white space: then a text's ids are those of its chunks, one after another.
+    whose added tokens hold no white space: then a text's ids are those of its chunks, one after another. New chunks go to the
+    library many at a time, as one text, whose ids are dealt to the chunks by their bytes.
     """
 
     def __init__(self, definition: str):
@@ -51,9 +52,13 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.known = Tokenizer.from_str(self.definition), {}
-        if any(any(c.isspace() for c in t.content) for t in self.library.get_added_tokens_decoder().values()):
+        added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
+        if any(any(c.isspace() for c in x) for x in added.values()):
             raise ValueError("an added token holds white space")
-        self.wide = self.library.get_vocab_size() > 2**16
+        size = self.library.get_vocab_size()
+        self.dtype = "<u4" if size > 2**16 else "<u2"
+        # A byte-level token has one character for each of its bytes.
+        self.bytes_of = np.array([len(added.get(i, "").encode()) or len(self.library.id_to_token(i) or "") for i in range(size)])
 
     def __getstate__(self):
         return {"definition": self.definition}
@@ -62,7 +67,10 @@ class LibraryEncoder:
         self.__dict__ |= state
         self._prepare()
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         group, waiting = [], 0
         for text in texts:
             group.append(chunks(text or ""))
@@ -72,18 +80,35 @@ class LibraryEncoder:
                 group, waiting = [], 0
         yield from self._encode_group(group)
 
-    def _encode_group(self, group: list[list[str]]) -> Iterator[list[int]]:
+    def _encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
         kinds = set(chain.from_iterable(group))
         new = [x for x in kinds if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(kinds)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        # A chunk from a space to a visible character is encoded alike beside others.
+        joint = [x for x in new if x[0] == " " and not x[-1].isspace()]
+        alone = [x for x in new if not (x[0] == " " and not x[-1].isspace())]
+        for at in range(0, len(joint), 1024):
+            self._learn(joint[at : at + 1024])
+        for at in range(0, len(alone), 1024):
+            part = alone[at : at + 1024]
             for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = tuple(found.ids)
+                self.known[chunk] = self.pack(found.ids)
         for parts in group:
-            yield list(chain.from_iterable(map(self.known.__getitem__, parts)))
+            yield b"".join(map(self.known.__getitem__, parts))
+
+    def _learn(self, part: list[str]) -> None:
+        ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids)
+        reached = np.cumsum(self.bytes_of[ids])
+        wanted = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in part])
+        stop = np.searchsorted(reached, wanted) + 1
+        if (reached[stop - 1] != wanted).any():
+            raise ValueError("the vocabulary is not byte-level")
+        packed, size, before = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
+        for chunk, end in zip(part, (stop * size).tolist(), strict=True):
+            self.known[chunk] = packed[before:end]
+            before = end
 
 
 def _key_hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +155,11 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _writer(root: str, encoder, end_id: int, dtype: str):
+def _writer(root: str, encoder, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder_, own, low, high, total = encoder.value, uuid.uuid4().hex, None, None, 0
         keys, counts, store, base = [], [], None, ""
+        end, size = encoder_.pack([end_id]), np.dtype(encoder_.dtype).itemsize
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -143,9 +169,8 @@ def _writer(root: str, encoder, end_id: int, dtype: str):
             own_keys = batch.column(0).fill_null(NULL_KEY).to_pylist()
             keys += own_keys
             for ids in encoder_.encode(batch.column(1).to_pylist()):
-                ids.append(end_id)
-                counts.append(len(ids))
-                out.write(np.array(ids, dtype).tobytes())
+                counts.append(len(ids) // size + 1)
+                out.write(ids + end)
         if store is not None:
             out.close()
             counted = np.array(counts, np.int64)
@@ -163,13 +188,13 @@ def _writer(root: str, encoder, end_id: int, dtype: str):
 
 def write_store(docs: DataFrame, encoder: LibraryEncoder, root: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes docs in ascending key order; gives the manifest, saved beside the shards: (shard, low, high, n_tokens, n_docs, start)."""
-    spark, dtype = docs.sparkSession, "<u4" if encoder.wide else "<u2"
+    spark, dtype = docs.sparkSession, encoder.dtype
     shared = spark.sparkContext.broadcast(encoder)
     store, base = _open(root)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = rows.mapInArrow(_writer(root, shared, end_id, dtype), "shard string, low long, high long, n_tokens long, n_docs long")
+    manifest = rows.mapInArrow(_writer(root, shared, end_id), "shard string, low long, high long, n_tokens long, n_docs long")
     manifest.write.parquet(f"{root}/manifest")  # a row for each shard
     manifest = spark.read.parquet(f"{root}/manifest").withColumn("dtype", F.lit(dtype))
     before = F.sum("n_tokens").over(Window.orderBy("low", "high", "shard").rowsBetween(Window.unboundedPreceding, -1))
