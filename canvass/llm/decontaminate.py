@@ -1,12 +1,14 @@
 r"""Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
 Tokens are lower-cased runs of letters and digits. Each of the fixed masks of SPAN tokens keeps six positions and
-ignores the others, so a hash of the kept tokens survives substitutions at the ignored ones. Hashes of all benchmark
+ignores the others, so a hash of the kept tokens survives substitutions at the ignored ones. The masks are the pairs of four groups
+of three positions: any two substitutions in SPAN tokens leave a pair untouched, and so do any three in 15 or 16 tokens at some
+offset, so that no overlap of the threshold below is missed. Hashes of all benchmark
 positions are joined with those of all training positions. Each hit fixes an alignment of an item with a document, which is verified
 around the hit: a document is contaminated if, in some WINDOW aligned tokens (all of a shorter
 item), at least SIMILARITY of the tokens are equal.
 
-Seeds of the benchmark are broadcast where their counted number is within BROADCAST_ROWS; else Spark shuffles both sides.
+Seeds of the benchmark are broadcast where the counted number of their places is within BROADCAST_ROWS; else Spark shuffles both sides.
 Documents are cut into overlapping parts of PART tokens, so memory does not follow the longest text.
 
 Cases: null and empty texts, and items of fewer than SPAN tokens, match nothing; equal items each count; equal documents
@@ -16,6 +18,9 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +28,7 @@ from canvass.llm.common import Scratch, broadcast_if_small
 
 SPAN, WINDOW, SIMILARITY = 12, 16, 0.8
 #: Kept positions of each mask within SPAN tokens.
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 8, 9), (0, 2, 3, 7, 9, 11), (0, 3, 4, 5, 10, 11))
+MASKS = tuple(tuple(sorted(a + b)) for a, b in itertools.combinations(((0, 10, 11), (1, 4, 8), (2, 7, 9), (3, 5, 6)), 2))
 PART, BROADCAST_ROWS = 4096, 1_000_000
 
 
@@ -58,14 +63,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", simi
     every = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col(f"seed{n}").alias("seed")) for n in range(len(MASKS))]))
     seeds = places.select("item_id", "pos", every.alias("s")).groupBy("s.mask", "s.seed").agg(F.collect_set(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("places"))
     seeds = scratch.save("seeds", seeds)
-    known = seeds.count()
+    known = seeds.agg(F.sum(F.size("places"))).first()[0] or 0
     found = _positions(docs.select("doc_id", hashed_tokens(F.col("text")).alias("t")), "doc_id")
     for n in range(len(MASKS)):
         own = seeds.where(F.col("mask") == n).select(F.col("seed").alias(f"seed{n}"), F.col("places").alias(f"places{n}"))
         found = found.join(broadcast_if_small(own, known, BROADCAST_ROWS), f"seed{n}", "left")
     hit = [F.col(f"places{n}") for n in range(len(MASKS))]
     none = F.array().cast("array<struct<item_id:bigint,item_pos:int>>")
-    hits = found.where(F.coalesce(*hit).isNotNull()).select("doc_id", "pos", F.explode(F.array_union(F.array_union(*[F.coalesce(x, none) for x in hit[:2]]), F.array_union(*[F.coalesce(x, none) for x in hit[2:]]))).alias("h"))
+    hits = found.where(F.coalesce(*hit).isNotNull()).select("doc_id", "pos", F.explode(functools.reduce(F.array_union, [F.coalesce(x, none) for x in hit])).alias("h"))
     hits = hits.groupBy("doc_id", F.col("h.item_id").alias("item_id"), (F.col("pos") - F.col("h.item_pos")).alias("shift"))
     hits = scratch.save("hits", hits.agg(F.min("h.item_pos").alias("first"), F.max("h.item_pos").alias("last")))
     wanted = scratch.save("wanted", hits.select("doc_id").distinct())

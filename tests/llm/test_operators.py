@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out rows, with nulls, ties, long and empty texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -250,6 +251,12 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), benchmark.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tokens, changed", [(12, 2), (15, 3), (16, 3)])
+def test_seeds_survive_all_substitutions(tokens, changed):
+    seeds = [{at + i for i in mask} for at in range(tokens - decontaminate.SPAN + 1) for mask in decontaminate.MASKS]
+    assert all(any(seed.isdisjoint(x) for seed in seeds) for x in itertools.combinations(range(tokens), changed))
+
+
 KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m, d: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m, d: all(int(x) <= 255 for x in m.split("."))),
