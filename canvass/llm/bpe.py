@@ -16,7 +16,8 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 from canvass.llm.mph import MinimalPerfectHash
 
-#: Chunks remembered in a worker.
-REMEMBERED = 600_000
+#: Chunks remembered in a worker, as packed ids; chunks of texts that are looked up together; rows of a batch that goes back.
+REMEMBERED, TOGETHER, ROWS = 300_000, 50_000, 512
 # 0x1C to 0x1F are white space for Python alone.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _MORE_SPACE = re.compile(r"[^\S\x1c-\x1f](?= )| $")
@@ -126,19 +127,19 @@ class Codec:
         new = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in known]
         tokens = [x.encode("utf-8", "surrogatepass") for x in new]
         for text, token, at in zip(new, tokens, self.whole(tokens), strict=True):
-            known[text] = (at,) if at >= 0 else tuple(self.merge(token))
+            known[text] = array("i", (at,) if at >= 0 else self.merge(token)).tobytes()
         for chunk, parts in zip(found, split, strict=True):
             if len(parts) > 1:
-                known[chunk] = tuple(chain.from_iterable(map(known.__getitem__, parts)))
+                known[chunk] = b"".join(map(known.__getitem__, parts))
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text. Chunks that are new in a group of texts are looked up together."""
         group: list[list[str]] = []
         waiting = 0
         for text in texts:
             group.append(chunks(text or ""))
             waiting += len(group[-1])
-            if waiting >= REMEMBERED // 4:
+            if waiting >= TOGETHER:
                 yield from self._encode_group(group)
                 group, waiting = [], 0
         yield from self._encode_group(group)
@@ -151,7 +152,7 @@ class Codec:
             new = list(kinds)
         self.learn(new)
         for parts in group:
-            yield list(chain.from_iterable(map(self.known.__getitem__, parts)))
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -168,14 +169,16 @@ def round_trip(docs: DataFrame, codec: Codec, text: str = "text", with_ids: bool
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
-        for batch in batches:
-            out: list[list] = [[] for _ in added]
-            for ids in codec.encode(batch.column(batch.num_columns - 1).to_pylist()):
-                new = (len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest(), ids)
-                for values, value in zip(out, new, strict=False):
-                    values.append(value)
-            new_columns = [pa.array(v, t) for v, (_, t) in zip(out, added, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new_columns], names=[*keep, *[n for n, _ in added]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                out: list[list] = [[] for _ in added]
+                for ids in codec.encode(x.as_py() for x in batch.column(batch.num_columns - 1)):
+                    new = (len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest(), np.array(ids, np.int32))
+                    for values, value in zip(out, new, strict=False):
+                        values.append(value)
+                new_columns = [pa.array(v, t) for v, (_, t) in zip(out, added, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new_columns], names=[*keep, *[n for n, _ in added]])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     shape = kept.schema

@@ -16,7 +16,7 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,8 +32,8 @@ from canvass.llm.mph import MinimalPerfectHash
 from canvass.llm.spans import U, mix
 
 NULL_KEY = -(2**63)
-#: Chunks of text remembered in a worker.
-REMEMBERED = 600_000
+#: Chunks of text remembered in a worker; chunks of texts that are looked up together.
+REMEMBERED, TOGETHER = 300_000, 50_000
 
 
 class LibraryEncoder:
@@ -70,12 +70,12 @@ class LibraryEncoder:
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, waiting = [], 0
         for text in texts:
             group.append(chunks(text or ""))
             waiting += len(group[-1])
-            if waiting >= REMEMBERED // 4:
+            if waiting >= TOGETHER:
                 yield from self._encode_group(group)
                 group, waiting = [], 0
         yield from self._encode_group(group)
@@ -168,7 +168,7 @@ def _writer(root: str, encoder, end_id: int):
                 out = store.open_output_stream(f"{base}/{own}.part")
             own_keys = batch.column(0).fill_null(NULL_KEY).to_pylist()
             keys += own_keys
-            for ids in encoder_.encode(batch.column(1).to_pylist()):
+            for ids in encoder_.encode(x.as_py() for x in batch.column(1)):
                 counts.append(len(ids) // size + 1)
                 out.write(ids + end)
         if store is not None:
