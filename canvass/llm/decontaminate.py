@@ -11,7 +11,11 @@ item), at least SIMILARITY of the tokens are equal.
 Seeds of the benchmark are broadcast where the counted number of their places is within BROADCAST_ROWS; else Spark shuffles both sides.
 Documents are cut into overlapping parts of PART tokens, so memory does not follow the longest text.
 
-Cases: null and empty texts, and items of fewer than SPAN tokens, match nothing; equal items each count; equal documents
+Items of fewer than SPAN tokens have no room for a mask. A hash of the whole item is joined with the hashes of all runs of as many
+tokens in the documents; of 5 tokens or more, further hashes each leave out one position, as a substitution in 5 to 9 tokens, or two, as in
+10 and 11, keeps SIMILARITY. Runs of scripts without spaces between words are cut into single characters, each a token.
+
+Cases: null and empty texts, and items without tokens, match nothing; equal items each count; equal documents
 each match; rows with a null doc_id or item_id match nothing; rows of one doc_id are judged together; an empty table on either side gives an
 empty result; further columns are ignored.
 """
@@ -32,8 +36,13 @@ MASKS = tuple(tuple(sorted(a + b)) for a, b in itertools.combinations(((0, 10, 1
 PART, BROADCAST_ROWS = 4096, 1_000_000
 
 
+#: Scripts without spaces between words.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    # Splitting between two characters as well, where either is of such a script.
+    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}]+|(?<=[{UNSPACED}])(?!\p{{M}})|(?=[{UNSPACED}&&\p{{L}}])"), lambda x: x != "")
 
 
 def hashed_tokens(text: Column) -> Column:
@@ -53,18 +62,52 @@ def _positions(rows: DataFrame, key: str) -> DataFrame:
     return spread.select(key, (F.col("base") + F.col("at")).alias("pos"), *seeds)
 
 
+def left_out(size: int, similarity: float = SIMILARITY) -> list[tuple[int, ...]]:
+    """The choices of positions that may differ in an item of so many tokens: all that similarity allows at once."""
+    allowed = next(k for k in range(size, -1, -1) if (size - k) / size >= similarity)
+    return list(itertools.combinations(range(size), allowed))
+
+
+def _whole_hashes(window: Column, size: int, similarity: float) -> Column:
+    """window: array of size token hashes -> array of a hash for each choice of positions left out."""
+    return F.array(*[F.xxhash64(F.lit(size), F.lit(n), *[F.get(window, F.lit(i)) for i in range(size) if i not in gone]) for n, gone in enumerate(left_out(size, similarity))])
+
+
+def _short(docs: DataFrame, items: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """docs (doc_id, t), items (item_id, t) of fewer than SPAN tokens -> (doc_id, item_id, similarity)."""
+    sizes = sorted(r.size for r in items.select(F.size("t").alias("size")).distinct().collect())
+    out = None
+    for size in sizes:
+        own = items.where(F.size("t") == size).select("item_id", F.col("t").alias("b"), F.explode(_whole_hashes(F.col("t"), size, similarity)).alias("seed"))
+        own = scratch.save(f"short{size}", own)
+        starts = F.sequence(F.lit(0), F.size("t") - size, F.lit(PART))
+        parts = docs.where(F.size("t") >= size).select("doc_id", F.explode(F.transform(starts, lambda s: F.slice("t", s + 1, F.lit(PART + size - 1)))).alias("part"))
+        count = F.size("part") - (size - 1)
+        windows = parts.select("doc_id", F.explode(F.arrays_zip(*[F.slice("part", F.lit(i + 1), count).alias(f"t{i}") for i in range(size)])).alias("w"))
+        windows = windows.select("doc_id", F.array(*[F.col(f"w.t{i}") for i in range(size)]).alias("w"))
+        found = windows.select("doc_id", "w", F.explode(_whole_hashes(F.col("w"), size, similarity)).alias("seed"))
+        hits = found.join(broadcast_if_small(own, own.count(), BROADCAST_ROWS), "seed")
+        same = F.aggregate(F.zip_with("w", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+        hits = hits.select("doc_id", "item_id", (same / F.lit(size)).alias("similarity")).where(F.col("similarity") >= similarity)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, item_id, similarity) of contaminated documents, once a pair."""
     scratch = Scratch(docs.sparkSession, "seeds")
     docs = docs.select(F.col("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    items = benchmark.select("item_id", hashed_tokens(F.col("text")).alias("t")).where("item_id is not null").where(F.size("t") >= SPAN)
+    items = benchmark.select("item_id", hashed_tokens(F.col("text")).alias("t")).where("item_id is not null").where(F.size("t") > 0)
     items = scratch.save("items", items)
+    short, items = items.where(F.size("t") < SPAN), items.where(F.size("t") >= SPAN)
     places = _positions(items, "item_id")
     every = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col(f"seed{n}").alias("seed")) for n in range(len(MASKS))]))
     seeds = places.select("item_id", "pos", every.alias("s")).groupBy("s.mask", "s.seed").agg(F.collect_set(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("places"))
     seeds = scratch.save("seeds", seeds)
     known = seeds.agg(F.sum(F.size("places"))).first()[0] or 0
-    found = _positions(docs.select("doc_id", hashed_tokens(F.col("text")).alias("t")), "doc_id")
+    hashed = docs.select("doc_id", hashed_tokens(F.col("text")).alias("t"))
+    brief = _short(hashed, short, similarity, scratch)
+    found = _positions(hashed, "doc_id")
     for n in range(len(MASKS)):
         own = seeds.where(F.col("mask") == n).select(F.col("seed").alias(f"seed{n}"), F.col("places").alias(f"places{n}"))
         found = found.join(broadcast_if_small(own, known, BROADCAST_ROWS), f"seed{n}", "left")
@@ -85,4 +128,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", simi
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("width")), F.lit(0), lambda a, x: a + x))
     scored = pairs.select("doc_id", "item_id", same.alias("same"), width.alias("width")).where(F.size("same") >= F.col("width"))
     scored = scored.select("doc_id", "item_id", (F.array_max(sums) / F.col("width")).alias("similarity")).where(F.col("similarity") >= similarity)
+    scored = scored if brief is None else scored.unionByName(brief)
     return scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))

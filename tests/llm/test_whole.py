@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from canvass.llm import jaccard
+from canvass.llm import decontaminate, jaccard
 
 
 def near_groups(rows):
@@ -50,3 +50,15 @@ def test_near_duplicate_stage_against_all_pairs(spark, crowd):
     if crowd != 2:
         kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
         assert kept == set(expected.values()) and len({expected[i] for i in range(96)}) < 80
+
+
+def test_short_and_unspaced_benchmark_items(spark):
+    items = [(0, "Who wrote Hamlet?"), (1, "name the largest planet of our system"), (2, "法国的首都是哪个城市"), (3, "a b c d e f g h i j"), (4, "Oxygen"), (5, "..."), (6, "เมืองหลวงของไทยคืออะไร")]
+    docs = [
+        (0, "he asked: who wrote hamlet, and when"), (1, "Name the biggest planet of our system now"), (2, "请问，法国的首都是哪个城市？谢谢"), (3, "x a b C d Z f g h Y j k"),
+        (4, "oxygen is a gas"), (5, "who has wrote hamlet"), (6, "name a larger planet of our system"), (7, "a b X d Z f g h Y j"), (8, "法国首都"), (9, None), (None, "oxygen"),
+        (10, "w " * (decontaminate.PART - 2) + "who wrote hamlet"), (11, "ถาม เมืองหลวงของไทยคืออะไร ครับ"),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    expected = {(0, 0): 1.0, (1, 1): 6 / 7, (2, 2): 1.0, (3, 3): 0.8, (4, 4): 1.0, (10, 0): 1.0, (11, 6): 1.0}
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(expected)
