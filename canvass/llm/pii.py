@@ -3,8 +3,9 @@ r"""Personal data: fixed base patterns, and information-theoretic sanitisation o
 Base spans are leftmost, non-overlapping matches of four patterns. Around each, CONTEXT words on either side are its context. Corpus
 co-occurrence then tells how far a term gives an entity away: with n_e, n_t and n_te the numbers of distinct
 texts that hold the entity, the term and the term in a context of the entity, and N all distinct
-texts, the term discloses PMI / IC = log(n_te N / (n_t n_e)) / log(N / n_e) of the entity's information. Terms that disclose at least
-DISCLOSURE in at least SUPPORT texts are spans of kind "term" wherever they stand as words in a document where
+texts, the term discloses PMI / IC = log(p N / n_e) / log(N / n_e) of the entity's information, where p is the probability of the entity
+given the term: n_te / n_t, smoothed to (n_te + PRIOR n_e / N) / (n_t + PRIOR), so that it is defined for an entity seen in one text
+and is the less the fewer texts back it. Terms that disclose at least DISCLOSURE are spans of kind "term" wherever they stand as words in a document where
 they are in the entity's context. Sanitising replaces base spans by their kind in angle brackets (generalised) and terms by "<term>".
 
 Distinct texts are counted, so copies of one document are one observation. Counts cover all rows.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from canvass.llm.common import Scratch, broadcast_if_small
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, DISCLOSURE, BROADCAST_ROWS = 8, 3, 0.9, 500_000
+CONTEXT, PRIOR, DISCLOSURE, BROADCAST_ROWS = 8, 0.5, 0.9, 500_000
 #: The contract's patterns. Those that could start again at each character of a long run may only start where a run does, or where the last match ended.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -96,9 +97,9 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return span.select("doc_id", "content", _entity(F.col("s.kind"), F.col("s.value")).alias("entity"), F.explode(near).alias("term"))
 
 
-def revealing_terms(contexts: DataFrame, docs: DataFrame, scratch: Scratch, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing_terms(contexts: DataFrame, docs: DataFrame, scratch: Scratch, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """contexts, and docs (content, text) of the whole corpus -> (entity, term) that discloses too much."""
-    together = contexts.select("entity", "term", "content").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    together = contexts.select("entity", "term", "content").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     together = scratch.save("together", together)
     entities = contexts.select("entity", "content").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     candidates = scratch.save("candidates", together.select("term").distinct())
@@ -108,7 +109,8 @@ def revealing_terms(contexts: DataFrame, docs: DataFrame, scratch: Scratch, supp
     total = docs.agg(F.approx_count_distinct("content", 0.01).alias("n"))  # inside a logarithm
     n = float(total.first().n or 1)
     counted = together.join(entities, "entity").join(terms, "term")
-    pmi, ic = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))), F.log(F.greatest(F.lit(n), F.col("n_e") + 1.0) / F.col("n_e"))
+    given = (F.col("n_te") + prior * F.col("n_e") / n) / (F.col("n_t") + prior)
+    pmi, ic = F.log(given * n / F.col("n_e")), F.log(F.greatest(F.lit(n), F.col("n_e") + 1.0) / F.col("n_e"))
     return counted.where(pmi >= disclosure * ic).select("entity", "term")
 
 

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from canvass.llm import decontaminate, jaccard
+from canvass.llm import decontaminate, jaccard, pii
 
 
 def near_groups(rows):
@@ -62,3 +63,12 @@ def test_short_and_unspaced_benchmark_items(spark):
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     expected = {(0, 0): 1.0, (1, 1): 6 / 7, (2, 2): 1.0, (3, 3): 0.8, (4, 4): 1.0, (10, 0): 1.0, (11, 6): 1.0}
     assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(expected)
+
+
+def test_terms_beside_entities_seen_once(spark):
+    docs = spark.createDataFrame([(0, "the plain words Quixby wrote to q1@x.org the plain words"), *[(i, f"the plain words number n{i} of all") for i in range(1, 300)]], "doc_id long, text string")
+    clean = {r.doc_id: r.c for r in pii.personal_data(docs).select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("c")).collect()}
+    assert clean[0] == "the plain words <term> <term> <term> <email> the plain words" and clean[1] == "the plain words number n1 of all"
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.personal_data(whole).select(F.explode("spans").alias("s")).groupBy("s.kind").count().collect()
+    assert sum(r["count"] for r in found if r.kind == len(pii.KINDS)) == 183 and sum(r["count"] for r in found) == 183 + 82
