@@ -2,8 +2,8 @@
 
 Tier one resolves a whole pre-token that is in the vocabulary through a minimal perfect hash, with the stored bytes
 compared. Tier two merges the rest: byte parts form a linked list, and a heap gives the adjacent pair
-of least rank, leftmost on ties, until no pair has a rank. Results for chunks of text are remembered in each worker, up to a fixed
-number, since words recur; a chunk is cut where a white-space character follows a visible one, which no
+of least rank, leftmost on ties, until no pair has a rank. In front of both tiers stands a memory of chunks of text already resolved
+in this worker, of fixed size, since words recur; a chunk is cut where a white-space character follows a visible one, which no
 pre-token crosses.
 
 Cases: null is the empty text, which has no ids; special tokens are ordinary text; texts of any length
@@ -30,11 +30,10 @@ from pyspark.sql import types as T
 
 from canvass.llm.mph import MinimalPerfectHash
 
-#: Chunks remembered in a worker, as packed ids; chunks of texts that are looked up together; rows of a batch that goes back.
-REMEMBERED, TOGETHER, ROWS = 300_000, 50_000, 512
+#: Chunks in each of a memory's two generations; chunks of texts that are looked up together; rows of a batch that goes back.
+REMEMBERED, TOGETHER, ROWS = 400_000, 200_000, 512
 # 0x1C to 0x1F are white space for Python alone.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_MORE_SPACE = re.compile(r"[^\S\x1c-\x1f](?= )| $")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,13 +43,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def chunks(text: str) -> list[str]:
     """Parts of a text, in order, none of which a pre-token leaves."""
-    if not text:
-        return []
-    if _MORE_SPACE.search(text):
-        return _CHUNK.findall(text)
-    first, *rest = text.split(" ")
-    parts = [" " + x for x in rest]
-    return [first, *parts] if first else parts
+    parts = []
+    for number, line in enumerate(text.split("\n")):
+        words = line.split()
+        if not words or " ".join(words) != line:  # white space that is not alone
+            return _CHUNK.findall(text)
+        at = len(parts) + (number > 0)
+        parts += ["\n"] * (number > 0) + [" " + x for x in words]
+        parts[at] = words[0]
+    return parts
+
+
+class Memory:
+    """Packed ids of chunks. A full generation becomes the old one, whose chunks are kept only if they are met again."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        """Between two groups of texts."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def unknown(self, kinds: Iterable[str]) -> list[str]:
+        """The chunks to resolve; the others are in ``young`` afterwards."""
+        young, old, new = self.young, self.old, []
+        for x in kinds:
+            if x not in young:
+                if (found := old.get(x)) is None:
+                    new.append(x)
+                else:
+                    young[x] = found
+        return new
+
+
+def grouped(texts: Iterable[str | None], together: int = TOGETHER) -> Iterator[list[list[str]]]:
+    """Chunks of texts, in groups of about ``together`` chunks."""
+    group, waiting = [], 0
+    for text in texts:
+        group.append(chunks(text or ""))
+        waiting += len(group[-1])
+        if waiting >= together:
+            yield group
+            group, waiting = [], 0
+    yield group
 
 
 class Codec:
@@ -63,7 +99,7 @@ class Codec:
         self.hash = MinimalPerfectHash.build(keys)
         number = self.hash.lookup(keys)
         self.stored: list[bytes] = [b""] * len(tokens)
-        self.ids = np.zeros(len(tokens), np.int64)
+        self.ids = [0] * len(tokens)
         for token, at in zip(tokens, number.tolist(), strict=True):
             self.stored[at], self.ids[at] = token, ranks[token]
         self.size = max(ranks.values()) + 1
@@ -73,10 +109,11 @@ class Codec:
         self._prepare()
 
     def _prepare(self) -> None:
-        self.split, self.known, self.text_of = regex.compile(self.pattern).findall, {}, list(map(str, range(self.size)))
+        self.split, self.memory, self.text_of = regex.compile(self.pattern).findall, Memory(), list(map(str, range(self.size)))
+        self.code = "H" if self.size <= 1 << 16 else "I"  # unsigned, of two or four bytes
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "known", "text_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory", "text_of")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -90,8 +127,8 @@ class Codec:
         """Ids of tokens that are in the vocabulary, -1 of others."""
         if not tokens:
             return []
-        number = self.hash.lookup(self._keys(tokens)).tolist()
-        return [int(self.ids[at]) if at >= 0 and self.stored[at] == token else -1 for token, at in zip(tokens, number, strict=True)]
+        number, ids, stored = self.hash.lookup(self._keys(tokens)).tolist(), self.ids, self.stored
+        return [ids[at] if at >= 0 and stored[at] == token else -1 for token, at in zip(tokens, number, strict=True)]
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of one pre-token by repeated merges of the pair of least rank."""
@@ -123,36 +160,27 @@ class Codec:
 
     def learn(self, found: list[str]) -> None:
         """Remember the ids of new chunks and of the pre-tokens in them."""
-        split, known = list(map(self.split, found)), self.known
+        split, known = list(map(self.split, found)), self.memory.young
         new = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in known]
         tokens = [x.encode("utf-8", "surrogatepass") for x in new]
         for text, token, at in zip(new, tokens, self.whole(tokens), strict=True):
-            known[text] = array("i", (at,) if at >= 0 else self.merge(token)).tobytes()
+            known[text] = array(self.code, (at,) if at >= 0 else self.merge(token)).tobytes()
         for chunk, parts in zip(found, split, strict=True):
             if len(parts) > 1:
                 known[chunk] = b"".join(map(known.__getitem__, parts))
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+    def encode_packed(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text. Chunks that are new in a group of texts are looked up together."""
-        group: list[list[str]] = []
-        waiting = 0
-        for text in texts:
-            group.append(chunks(text or ""))
-            waiting += len(group[-1])
-            if waiting >= TOGETHER:
-                yield from self._encode_group(group)
-                group, waiting = [], 0
-        yield from self._encode_group(group)
-
-    def _encode_group(self, group: list[list[str]]) -> Iterator[list[int]]:
-        kinds = set(chain.from_iterable(group))
-        new = [x for x in kinds if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(kinds)
-        self.learn(new)
-        for parts in group:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32).tolist()
+        for group in grouped(texts):
+            self.memory.turn()
+            self.learn(self.memory.unknown(set(chain.from_iterable(group))))
+            known = self.memory.young.__getitem__
+            for parts in group:
+                yield np.frombuffer(b"".join(map(known, parts)), self.code)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        for ids in self.encode_packed(texts):
+            yield ids.tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -173,10 +201,12 @@ def round_trip(docs: DataFrame, codec: Codec, text: str = "text", with_ids: bool
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 out: list[list] = [[] for _ in added]
-                for ids in codec.encode(x.as_py() for x in batch.column(batch.num_columns - 1)):
-                    new = (len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest(), np.array(ids, np.int32))
-                    for values, value in zip(out, new, strict=False):
+                for packed in codec.encode_packed(x.as_py() for x in batch.column(batch.num_columns - 1)):
+                    ids = packed.tolist()
+                    for values, value in zip(out, (len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest()), strict=False):
                         values.append(value)
+                    if with_ids:
+                        out[-1].append(packed.astype(np.int32))
                 new_columns = [pa.array(v, t) for v, (_, t) in zip(out, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new_columns], names=[*keep, *[n for n, _ in added]])
 

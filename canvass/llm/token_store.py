@@ -14,6 +14,7 @@ gives all of them; a null doc_id comes first; an empty table gives no shard; fur
 from __future__ import annotations
 
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,20 +27,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from canvass.llm.bpe import chunks
+from canvass.llm.bpe import Memory, grouped
 from canvass.llm.common import shared_dir
 from canvass.llm.mph import MinimalPerfectHash
 from canvass.llm.spans import U, mix
 
 NULL_KEY = -(2**63)
-#: Chunks of text remembered in a worker; chunks of texts that are looked up together.
-REMEMBERED, TOGETHER = 300_000, 50_000
+#: New chunks that go to the library as one text.
+TOGETHER = 1024
+_SIGNS = ",.;:!?"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 class LibraryEncoder:
     """Encodes with the tokenizers library, each distinct chunk of text once, to packed little-endian ids.
 
-    Valid for byte-level vocabularies whose pre-tokens do not cross from a visible character to white space, and
+    Valid for byte-level vocabularies whose pre-tokens do not cross from a visible character to white space (the definition is
+    looked at for that; with another pre-tokenizer or a normalizer whole texts go to the library), and
     whose added tokens hold no white space: then a text's ids are those of its chunks, one after another. New chunks go to the
     library many at a time, as one text, whose ids are dealt to the chunks by their bytes.
     """
@@ -51,7 +55,9 @@ class LibraryEncoder:
     def _prepare(self) -> None:
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_str(self.definition), {}
+        self.library, self.memory = Tokenizer.from_str(self.definition), Memory()
+        made = json.loads(self.definition)
+        self.by_chunks = made.get("normalizer") is None and made["pre_tokenizer"] == made["pre_tokenizer"] | _BYTE_LEVEL
         added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
         if any(any(c.isspace() for c in x) for x in added.values()):
             raise ValueError("an added token holds white space")
@@ -71,32 +77,28 @@ class LibraryEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group, waiting = [], 0
-        for text in texts:
-            group.append(chunks(text or ""))
-            waiting += len(group[-1])
-            if waiting >= TOGETHER:
-                yield from self._encode_group(group)
-                group, waiting = [], 0
-        yield from self._encode_group(group)
-
-    def _encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
-        kinds = set(chain.from_iterable(group))
-        new = [x for x in kinds if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(kinds)
-        # A chunk from a space to a visible character is encoded alike beside others.
-        joint = [x for x in new if x[0] == " " and not x[-1].isspace()]
-        alone = [x for x in new if not (x[0] == " " and not x[-1].isspace())]
-        for at in range(0, len(joint), 1024):
-            self._learn(joint[at : at + 1024])
-        for at in range(0, len(alone), 1024):
-            part = alone[at : at + 1024]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = self.pack(found.ids)
-        for parts in group:
-            yield b"".join(map(self.known.__getitem__, parts))
+        if not self.by_chunks:
+            for text in texts:
+                yield self.pack(self.library.encode(text or "", add_special_tokens=False).ids)
+            return
+        for group in grouped(texts):
+            self.memory.turn()
+            whole = self.memory.unknown(set(chain.from_iterable(group)))
+            # A sign after a letter is a pre-token of its own.
+            ended = [x for x in whole if x[-1] in _SIGNS and x[-2:-1].isalpha()]
+            new = self.memory.unknown(dict.fromkeys(chain(set(whole).difference(ended), (x[:-1] for x in ended), _SIGNS)))
+            # A chunk from a space to a visible character is encoded alike beside others.
+            joint, alone = [], []
+            for x in new:
+                (joint if x[0] == " " and not x[-1].isspace() else alone).append(x)
+            for at in range(0, len(joint), TOGETHER):
+                self._learn(joint[at : at + TOGETHER])
+            for chunk, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+                self.memory.young[chunk] = self.pack(found.ids)
+            known = self.memory.young.__getitem__
+            self.memory.young.update((x, known(x[:-1]) + known(x[-1])) for x in ended)
+            for parts in group:
+                yield b"".join(map(known, parts))
 
     def _learn(self, part: list[str]) -> None:
         ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids)
@@ -105,9 +107,9 @@ class LibraryEncoder:
         stop = np.searchsorted(reached, wanted) + 1
         if (reached[stop - 1] != wanted).any():
             raise ValueError("the vocabulary is not byte-level")
-        packed, size, before = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
+        packed, size, before, known = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0, self.memory.young
         for chunk, end in zip(part, (stop * size).tolist(), strict=True):
-            self.known[chunk] = packed[before:end]
+            known[chunk] = packed[before:end]
             before = end
 
 
