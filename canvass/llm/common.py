@@ -17,10 +17,12 @@ SEPARATORS = "[\\x20\\x09-\\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may do without: all its tasks share the machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="canvass-checkpoint-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -67,5 +69,15 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_by_bytes(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a written table whose measured bytes, 24 a value beside its text form, are within the limit; else Spark shuffles it."""
+    size = F.octet_length(F.to_json(F.struct("*"))) + 24 * len(df.columns)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -53,6 +54,7 @@ class LibraryEncoder:
         self._prepare()
 
     def _prepare(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.memory = Tokenizer.from_str(self.definition), Memory()
