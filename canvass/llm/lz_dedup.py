@@ -1,16 +1,19 @@
 """Substring dedup of words by relative Lempel-Ziv parsing against every earlier document.
 
-The reference of a document is all documents of smaller id. Its index has two levels, both spread over
-Spark's partitions by hash: anchors (winnowed GRAM-word phrases, of which every window has one) tell
+The reference of a document is all documents of smaller id. Its index is spread over Spark's partitions in blocks by hash and has two levels:
+anchors (winnowed GRAM-word phrases, of which every window has one) tell
 which parts of a document can occur elsewhere at all; for those parts alone, each WINDOW-word phrase is
-indexed with the least document it starts in. A document is then factored greedily: a factor copies
-consecutive phrases from one reference document as far as it goes, and the phrases across a factor's
-boundary are looked up like any other. Factors of at least WINDOW words become duplicate spans.
+indexed with the document and the place where it stands first. A document is then factored greedily from left to right: a factor starts at
+a phrase that the reference has and goes on as long as the next phrase stands at the next place of the same reference document. Phrases across a factor's
+boundary are looked up like any other, so neighbouring factors may overlap. Factors have WINDOW words or more by construction. The words of each factor are
+then compared, by SHA-256, with the words at its place in the reference document; those that agree become duplicate spans.
+The 64-bit hashes of phrases only find candidates: one that agrees by chance removes nothing.
+
+A reference document that very many factors copy is read in several tasks, each for a bounded share of its distinct spans.
 
 Cases: null and empty texts have no words; texts of fewer than WINDOW words keep all; of several rows
-with one doc_id each is judged against smaller ids alone; rows with a null doc_id keep all and are no
-reference; an empty table gives an empty result; further columns are ignored. Phrases are compared by
-64-bit hashes.
+with one doc_id each is judged against smaller ids alone (places carry a hash of the row's text, so that rows are told apart); rows with a null doc_id keep all and are no
+reference; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ from canvass.llm.common import Scratch
 from canvass.llm.spans import SpanHasher, anchors, pieces, signed, word_bounds
 
 WINDOW, GRAM = 13, 7
+#: Spans of one reference document that a task compares.
+SPANS_A_TASK = 512
 _PIECE = 1 << 18
 
 
@@ -70,74 +76,103 @@ def _anchor_rows(window: int, gram: int):
     return rows
 
 
+def row_base(data: bytes) -> int:
+    """What is added to the places in a row's text: a number of 31 bits above those of any place."""
+    return (xxhash.xxh64_intdigest(data) >> 33) << 32
+
+
 def _phrase_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
+            ids, found, places = [], [], []
             for key, text, shared in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
-                shared = shared.values.to_numpy().view(np.uint64)
-                own = [whole[np.isin(anchor, shared)] for _, whole, anchor in phrases(split_words(text), window, gram)]
-                if own:
-                    ids.append(key)
-                    found.append(np.unique(np.concatenate(own)))
-            yield _hash_rows(ids, found, "phrase")
+                shared, words = shared.values.to_numpy().view(np.uint64), split_words(text)
+                base = row_base((text or "").encode("utf-8", "surrogatepass"))
+                for low, whole, anchor in phrases(words, window, gram):
+                    at = np.flatnonzero(np.isin(anchor, shared))
+                    ids.append(np.full(len(at), key, np.int64))
+                    found.append(whole[at])
+                    places.append(at + (low + base))
+            columns = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found, np.uint64), (ids, np.int64), (places, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(columns[0])), pa.array(columns[1]), pa.array(columns[2])], names=["phrase", "doc_id", "place"])
 
     return rows
 
 
-def factorise(sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """sources: each phrase's reference document, -1 for none -> greedy factors (first word, words, reference document)."""
-    factors, at, n = [], 0, len(sources)
-    edges = np.flatnonzero(np.diff(sources)) + 1
-    for end in [*edges.tolist(), n]:
-        if end > at and sources[at] != -1:
-            factors.append((at, end - at + window - 1, int(sources[at])))
-        at = end
-    return factors
+def factorise(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Phrases that the reference has, by place -> greedy factors (first word, words, reference document, its first word)."""
+    if not len(places):
+        return []
+    follows = (np.diff(places) == 1) & (np.diff(sources) == 0) & (np.diff(source_places) == 1)
+    first = np.concatenate([[0], np.flatnonzero(~follows) + 1])
+    count = np.diff(np.concatenate([first, [len(places)]])) + window - 1
+    return list(zip(places[first].tolist(), count.tolist(), sources[first].tolist(), source_places[first].tolist(), strict=True))
 
 
-def _parse(words: list[bytes], known: np.ndarray, sources: np.ndarray, window: int, gram: int) -> list[tuple[int, int, int]]:
-    """known: sorted hashes of the phrases that a smaller document has; sources: their least documents."""
-    if len(words) < window or not len(known):
-        return []
-    out = np.full(len(words) - window + 1, -1, np.int64)
-    for low, whole, _ in phrases(words, window, gram):
-        at = np.searchsorted(known, whole)
-        at[at == len(known)] = 0
-        out[low : low + len(whole)] = np.where(known[at] == whole, sources[at], -1)
-    return factorise(out, window)
+def _factor_rows(window: int):
+    """(doc_id, known: places with their sources) -> a row for each factor."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for key, known in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fields = [known.values.field(i).to_numpy() for i in range(3)]
+                order = np.unique(fields[0], return_index=True)[1]  # rows that are equal give a place twice
+                for factor in factorise(*(x[order] for x in fields), window):
+                    for values, value in zip(out, (key, *factor), strict=True):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "place", "words", "source", "source_place"])
+
+    return rows
+
+
+def _digest(words: list[bytes], first: int, count: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[first : first + count])).digest()
+
+
+def _own(spans, base: int) -> Iterator[tuple[int, dict]]:
+    """Of spans with a place, those of this row, with the word they start at."""
+    return ((x["place"] - base, x) for x in spans if x["place"] >> 32 == base >> 32)
+
+
+def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans) -> the digest of each span of the reference document."""
+    for batch in batches:
+        out = [[] for _ in range(4)]
+        for key, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words, base = split_words(text), row_base((text or "").encode("utf-8", "surrogatepass"))
+            for first, x in _own(spans, base):
+                for values, value in zip(out, (key, x["place"], x["words"], _digest(words, first, x["words"])), strict=True):
+                    values.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["source", "source_place", "words", "digest"])
 
 
-def _outcome(window: int, gram: int, with_text: bool):
+def _outcome(with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans")}
-            for key, text, found in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
-                words, factors = split_words(text), []
-                if found.is_valid and len(words) >= window:
-                    pairs = found.values
-                    known, source = (pairs.field(i).to_numpy() for i in (0, 1))
-                    known = known.view(np.uint64)
-                    order = np.argsort(known)
-                    factors = _parse(words, known[order], source[order], window, gram)
+            for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, base, spans = split_words(text), row_base((text or "").encode("utf-8", "surrogatepass")), []
                 gone = np.zeros(len(words) + 1, np.int64)
-                for first, count, _ in factors:
-                    gone[first] += 1
-                    gone[first + count] -= 1
+                for first, x in _own(found or (), base):
+                    if _digest(words, first, x["words"]) == x["digest"]:
+                        gone[first] += 1
+                        gone[first + x["words"]] -= 1
+                        spans.append({"first_word": first, "words": x["words"], "source_doc_id": x["source"], "source_first_word": x["source_place"] & 0xFFFFFFFF})
                 gone = np.cumsum(gone[:-1]) > 0
-                kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]) if factors else b" ".join(words)
+                kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]) if spans else b" ".join(words)
                 out["doc_id"].append(key)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["spans"].append(kept.decode("utf-8", "surrogatepass") if with_text else [{"first_word": a, "words": b, "source_doc_id": c} for a, b, c in factors])
+                out["spans"].append(kept.decode("utf-8", "surrogatepass") if with_text else sorted(spans, key=lambda x: x["first_word"]))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if with_text else _SPANS)
             yield _batch({k: (v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return rows
 
 
-_SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("source_doc_id", pa.int64())]))
+_SPANS = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "words", "source_doc_id", "source_first_word")]))
 _SUMMARY = "doc_id long, n_words long, n_removed long, kept_sha256 string, "
 
 
@@ -155,15 +190,26 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     shared = seeds.join(repeated.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
     shared = scratch.save("shared", shared)
     scratch.drop("anchors")
-    rows = usable.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_phrase_rows(window, gram), "phrase long, doc_id long")
+    rows = usable.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_phrase_rows(window, gram), "phrase long, doc_id long, place long")
     rows = scratch.save("phrases", rows)
-    scratch.drop("shared")
-    index = rows.groupBy("phrase").agg(F.min("doc_id").alias("source"))
-    known = rows.join(index, "phrase").where("source < doc_id")
-    known = scratch.save("known", known.groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "source")).alias("known")))
-    scratch.drop("phrases")
+    index = rows.groupBy("phrase").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("source_place"))
+    known = rows.join(index.where("source < last").drop("last"), "phrase").where("source < doc_id")
+    known = known.groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("known"))
+    factors = known.mapInArrow(_factor_rows(window), "doc_id long, place long, words long, source long, source_place long")
+    factors = scratch.save("factors", factors)
+    scratch.drop("shared", "phrases")
+    # The distinct spans of each reference document, dealt to as many tasks as their number needs.
+    asked = factors.select("source", "source_place", "words").distinct()
+    shares = factors.groupBy("source").agg(F.approx_count_distinct(F.struct("source_place", "words")).alias("n")).select("source", (F.col("n") / SPANS_A_TASK + 1).cast("int").alias("of"))
+    asked = asked.join(shares, "source").withColumn("share", F.pmod(F.xxhash64("source_place", "words"), F.col("of")))
+    asked = asked.groupBy(F.col("source").alias("doc_id"), "share").agg(F.collect_list(F.struct(F.col("source_place").alias("place"), "words")).alias("spans"))
+    reference = usable.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(_reference_rows, "source long, source_place long, words long, digest binary")
+    reference = scratch.save("reference", reference.distinct())
+    checked = factors.join(reference, ["source", "source_place", "words"]).groupBy("doc_id").agg(F.collect_list(F.struct("place", "words", "source", "source_place", "digest")).alias("found"))
+    checked = scratch.save("checked", checked)
+    scratch.drop("factors", "reference")
     kept = output == "kept"
-    return docs.join(known, "doc_id", "left").select("doc_id", "text", "known").mapInArrow(
-        _outcome(window, gram, kept),
-        _SUMMARY + ("kept string" if kept else "spans array<struct<first_word:long,words:long,source_doc_id:long>>"),
+    return docs.join(checked, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
+        _outcome(kept),
+        _SUMMARY + ("kept string" if kept else "spans array<struct<first_word:long,words:long,source_doc_id:long,source_first_word:long>>"),
     )

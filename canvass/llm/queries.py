@@ -90,16 +90,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op7_substrings": r"""
         WITH words AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), windows AS (
-            SELECT doc_id, at, array_to_string(w[at : at + 12], ' ') AS phrase
-            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS at FROM words WHERE len(w) >= 13)
+            SELECT doc_id, pos, array_to_string(w[pos : pos + 12], ' ') AS phrase
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM words WHERE len(w) >= 13)
         ), first_seen AS (SELECT phrase, min(doc_id) AS source FROM windows GROUP BY phrase
-        ), hits AS (SELECT doc_id, at FROM windows JOIN first_seen USING (phrase) WHERE source < doc_id
-        ), gone AS (SELECT DISTINCT doc_id, at + k AS at FROM hits, (SELECT unnest(range(13)) AS k)
-        ), lost AS (SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id)
-        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-               sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]) END, ' ')) AS kept_sha256
-        FROM words LEFT JOIN lost USING (doc_id)
+        ), hits AS (SELECT doc_id, pos FROM windows JOIN first_seen USING (phrase) WHERE source < doc_id
+        ), gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM hits, (SELECT unnest(range(13)) AS k)
+        ), every AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM words
+        ), rest AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
+            FROM every ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN rest USING (doc_id)
     """,
 }
