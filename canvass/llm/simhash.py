@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.llm import jaccard
 from canvass.llm.common import Scratch
 from canvass.llm.components import connected_components
 from canvass.llm.spans import word_bounds
@@ -98,10 +99,16 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: int
     return found.union(stars.select("a", F.explode("ids").alias("b"))).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs -> (doc_id, fp, component_id): one row for each document."""
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs -> (doc_id, fp, component_id): one row for each document.
+
+    With a similarity, documents are linked by the Jaccard similarity of their shingles (see ``jaccard``) and not by fingerprints, whose
+    distance does not bound it; there is no fp then.
+    """
+    if similarity is not None:
+        return jaccard.near_duplicates(docs, text, key, shingle, similarity)
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save("prints", docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    prints = scratch.save("prints", docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text), shingle).alias("fp")))
     classes = scratch.save("classes", prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = scratch.save("links", links(classes, scratch))
     scratch.drop("keyed", "crowd")
