@@ -192,12 +192,15 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     scratch.drop("anchors")
     rows = usable.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_phrase_rows(window, gram), "phrase long, doc_id long, place long")
     rows = scratch.save("phrases", rows)
+    scratch.drop("shared")
+    # Written on its own, so that Spark can split a crowded phrase in the join that follows.
     index = rows.groupBy("phrase").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("source_place"))
-    known = rows.join(index.where("source < last").drop("last"), "phrase").where("source < doc_id")
+    index = scratch.save("index", index.where("source < last").drop("last"))
+    known = rows.join(index, "phrase").where("source < doc_id")
     known = known.groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("known"))
     factors = known.mapInArrow(_factor_rows(window), "doc_id long, place long, words long, source long, source_place long")
     factors = scratch.save("factors", factors)
-    scratch.drop("shared", "phrases")
+    scratch.drop("phrases", "index")
     # The distinct spans of each reference document, dealt to as many tasks as their number needs.
     asked = factors.select("source", "source_place", "words").distinct()
     shares = factors.groupBy("source").agg(F.approx_count_distinct(F.struct("source_place", "words")).alias("n")).select("source", (F.col("n") / SPANS_A_TASK + 1).cast("int").alias("of"))
