@@ -5,17 +5,20 @@ The driver's tables hold no missing values, so queries on missing values plant t
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.functions import quantiles
 from canvass.functions.columns import numeric_columns, round_even
 from canvass.functions.student import Z
 from canvass.operators import charts, clean, estimate, pivot, profile, schema
-from canvass.plans import narrative
-from canvass.sources import readers, sinks, synth
+from canvass.plans import narrative, report
+from canvass.sources import readers, registry, sinks, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,15 +90,31 @@ def profile_duplicate_row_members(spark, sf_dir):
     return profile.duplicate_row_members(_pairs(spark, sf_dir), "event_id")
 
 
-@query("SELECT 'l_quantity == copy' AS pair WHERE (SELECT bool_and(l_quantity IS NOT DISTINCT FROM l_quantity) FROM lineitem)")
+COPIES = """copies AS (SELECT l_quantity, l_discount, l_quantity + 0 AS same, CASE WHEN l_orderkey = 1 THEN -1.0 ELSE l_quantity END AS nearly,
+    CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END AS holed, CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END AS holed_too FROM lineitem)"""
+
+
+@query(
+    f"WITH {COPIES} "
+    + " UNION ALL ".join(
+        f"SELECT '{a} == {b}' AS pair WHERE NOT EXISTS (SELECT 1 FROM copies WHERE {a} IS DISTINCT FROM {b})"
+        for a, b in itertools.combinations(("l_quantity", "l_discount", "same", "nearly", "holed", "holed_too"), 2)
+    )
+)
 def profile_duplicate_columns(spark, sf_dir):
-    return profile.duplicate_columns(table(spark, sf_dir, "lineitem").withColumn("copy", F.col("l_quantity")))
+    quantity, holed = F.col("l_quantity"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax"))
+    nearly = F.when(F.col("l_orderkey") == 1, -1.0).otherwise(quantity)
+    return profile.duplicate_columns(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", (quantity + 0).alias("same"), nearly.alias("nearly"), holed.alias("holed"), holed.alias("holed_too")))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(11 AS BIGINT) AS col_count FROM lineitem")
+@query("SELECT (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS row_count, CAST(count(*) AS BIGINT) AS col_count FROM (DESCRIBE lineitem)")
 def profile_shape(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    return df.agg(F.count("*").alias("row_count"), F.lit(len(df.columns)).cast("long").alias("col_count"))
+    return profile.shape(table(spark, sf_dir, "lineitem"))
+
+
+@query('SELECT column_name AS header FROM (DESCRIBE orders)')
+def profile_headers(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in profile.profile(table(spark, sf_dir, "orders"), "orders")["headers"]], "header string")
 
 
 @query("SELECT c_custkey AS id, c_name, c_nationkey, c_acctbal AS balance, c_mktsegment FROM customer")
@@ -103,7 +122,7 @@ def schema_rename(spark, sf_dir):
     return schema.rename(table(spark, sf_dir, "customer"), {"c_custkey": "id", "c_acctbal": "balance", "absent": "x"})
 
 
-@query("SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS \"column\"")
+@query("SELECT column_name AS \"column\" FROM (DESCRIBE lineitem) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE')")
 def schema_numeric_columns(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in numeric_columns(table(spark, sf_dir, "lineitem"))], "column string")
 
@@ -128,6 +147,17 @@ def impute_mode(spark, sf_dir):
     return clean.impute(holed, "mode")[0]
 
 
+@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 6 <> 0 THEN n_regionkey % 2 END, (SELECT min(v) FROM (SELECT v FROM (SELECT n_regionkey % 2 AS v, count(*) AS n FROM nation WHERE n_nationkey % 6 <> 0 GROUP BY v) QUALIFY n = max(n) OVER ()))) AS v FROM nation")
+def impute_mode_grouped_ties(spark, sf_dir):
+    holed = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 6 != 0, F.col("n_regionkey") % 2).alias("v"))
+    return clean.impute(holed, "mode", ["v"])[0]
+
+
+@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey > 0 THEN n_nationkey END, 1) AS v FROM nation")
+def impute_mode_all_tied(spark, sf_dir):
+    return clean.impute(table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") > 0, F.col("n_nationkey")).alias("v")), "mode", ["v"])[0]
+
+
 @query(f"WITH {PLANTED} SELECT event_id, value, user_id FROM planted WHERE value IS NOT NULL AND user_id IS NOT NULL")
 def impute_drop(spark, sf_dir):
     return clean.impute(planted(spark, sf_dir).select("event_id", "value", "user_id"), "drop")[0]
@@ -182,6 +212,28 @@ def rules_range_sequential_counts(spark, sf_dir):
     return changes(spark, clean.apply_rules(table(spark, sf_dir, "customer"), BALANCE)[1])
 
 
+PEOPLE = "people AS (SELECT c_custkey, c_custkey % 150 - 10 AS \"Age\", CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal * 2000 END AS \"Income\" FROM customer)"
+
+
+def _people(spark, sf_dir):
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", (key % 150 - 10).alias("Age"), F.when(key % 9 != 0, F.col("c_acctbal") * 2000).alias("Income"))
+
+
+@query(f'WITH {PEOPLE} SELECT * FROM people WHERE "Age" BETWEEN 0 AND 120 AND "Income" BETWEEN 0 AND 10000000')
+def rules_default(spark, sf_dir):
+    return clean.apply_rules(_people(spark, sf_dir), clean.DEFAULT_RULES)[0]
+
+
+@query(
+    f"""WITH {PEOPLE}, a AS (SELECT CASE WHEN NOT "Age" BETWEEN 0 AND 120 THEN '0: range Age|0 to 120' WHEN NOT coalesce("Income" BETWEEN 0 AND 10000000, false) THEN '1: range Income|0 to 10000000' END AS r FROM people)
+    SELECT split_part(r, '|', 1) AS "column", split_part(r, '|', 2) AS detail, CAST(count(*) AS BIGINT) AS changed FROM a WHERE r IS NOT NULL GROUP BY ALL"""
+)
+def rules_default_log(spark, sf_dir):
+    found = clean.apply_rules(_people(spark, sf_dir), clean.DEFAULT_RULES)[1]
+    return spark.createDataFrame([(c.column, c.detail, c.changed) for c in found], "column string, detail string, changed long")
+
+
 @query(f"WITH {PLANTED} SELECT * FROM planted WHERE value IS NOT NULL AND event_type IS NOT NULL")
 def rules_mandatory(spark, sf_dir):
     return clean.apply_rules(planted(spark, sf_dir), clean.Rules.of({"mandatory": ["value", "event_type", "absent"]}))[0]
@@ -349,14 +401,15 @@ def _t(v: str) -> str:
     )
 
 
-def _estimate_sql(target: str, population: str = "CAST(NULL AS DOUBLE)") -> str:
-    return f"""SELECT '{target}' AS "column", CAST(n AS BIGINT) AS n_sample, round_even(size, 2) AS n_effective, round_even(mean, 4) AS mean, round_even(se, 4) AS std_error,
+def _estimate_sql(target: str, population: str = "CAST(NULL AS DOUBLE)", source: str = "lineitem", weight: str = "l_quantity") -> str:
+    found = f"""SELECT '{target}' AS "column", CAST(n AS BIGINT) AS n_sample, round_even(size, 2) AS n_effective, round_even(mean, 4) AS mean, round_even(se, 4) AS std_error,
         round_even({_t('size - 1')} * se, 4) AS margin_of_error, round_even(mean - {_t('size - 1')} * se, 4) AS ci_95_lower, round_even(mean + {_t('size - 1')} * se, 4) AS ci_95_upper,
         round_even(mean * {population}, 2) AS population_estimate
         FROM (SELECT any_value(n) AS n, any_value(size) AS size, any_value(m) AS mean,
             sqrt(sum(l_quantity * ({target} - m) * ({target} - m)) / any_value(sw) * any_value(n) / (any_value(n) - 1)) / sqrt(any_value(size)) AS se
             FROM lineitem, (SELECT count(*) AS n, sum(l_quantity) AS sw, sum(l_quantity) * sum(l_quantity) / sum(l_quantity * l_quantity) AS size,
                 sum(l_quantity * {target}) / sum(l_quantity) AS m FROM lineitem))"""
+    return found.replace("l_quantity", weight).replace("lineitem", source)
 
 
 def _estimates(spark, sf_dir, targets, population=None):
@@ -383,6 +436,16 @@ def weighted_estimate_population(spark, sf_dir):
     return _estimates(spark, sf_dir, ["l_extendedprice"], estimate.parse_population(" 1000000 "))
 
 
+def _few(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_acctbal", (F.col("s_nationkey") + 1).cast("double").alias("weight"))
+
+
+# Under 200 degrees of freedom the library inverts the distribution; the expansion agrees to nine digits at these sizes.
+@query("WITH few AS (SELECT s_acctbal, CAST(s_nationkey + 1 AS DOUBLE) AS weight FROM supplier) " + _estimate_sql("s_acctbal", source="few", weight="weight"))
+def weighted_estimate_small(spark, sf_dir):
+    return estimate.weighted_estimates(_few(spark, sf_dir), ["s_acctbal"], "weight")
+
+
 @query(
     """WITH s AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS sw, sum(l_quantity * l_quantity) AS sww, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS m FROM lineitem GROUP BY 1),
     d AS (SELECT l_returnflag, sum(l_quantity * (l_extendedprice - m) * (l_extendedprice - m)) AS d FROM lineitem JOIN s USING (l_returnflag) GROUP BY 1),
@@ -413,14 +476,27 @@ def chart_histogram(spark, sf_dir):
     return rounded(charts.histogram(table(spark, sf_dir, "events"), "value", 30), "low", "high", digits=6)
 
 
-@query()
+@query(
+    """WITH b AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events),
+    k AS (SELECT *, CAST(ceil((hi - lo) / least(greatest(2 * iqr * pow(n, -1.0 / 3), (hi - lo) / (2 * sqrt(n))), (hi - lo) / (log2(n) + 1))) AS INT) AS bins FROM b),
+    w AS (SELECT *, (hi - lo) / bins AS width FROM k),
+    c AS (SELECT least(CAST(floor((value - lo) / width) AS INT), bins - 1) + 1 AS bin, count(*) AS n FROM events, w GROUP BY 1)
+    SELECT CAST(k AS INT) AS bin, round_even(lo + (k - 1) * width, 6) AS low, round_even(lo + k * width, 6) AS high, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+    FROM (SELECT w.*, unnest(range(1, bins + 1)) AS k FROM w) LEFT JOIN c ON c.bin = k"""
+)
 def chart_histogram_auto(spark, sf_dir):
-    return charts.histogram(table(spark, sf_dir, "events"), "value")
+    return rounded(charts.histogram(table(spark, sf_dir, "events"), "value"), "low", "high", digits=6)
 
 
-@query()
+@query(
+    """WITH b AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events),
+    c AS (SELECT lo + (least(floor((value - lo) / ((hi - lo) / 1000)), 999) + 0.5) * ((hi - lo) / 1000) AS middle, count(*) AS n FROM events, b GROUP BY 1),
+    g AS (SELECT lo - 3 * h + k * ((hi - lo + 6 * h) / 199) AS x FROM b, (SELECT unnest(range(200)) AS k))
+    SELECT round_even(x, 6) AS x, round_even(sum(exp(-((x - middle) / h) * ((x - middle) / h) / 2) * c.n) / any_value(b.n * h * sqrt(2 * pi())), 9) AS density
+    FROM g, c, b GROUP BY x"""
+)
 def chart_kde(spark, sf_dir):
-    return charts.density(table(spark, sf_dir, "events"), "value")
+    return rounded(rounded(charts.density(table(spark, sf_dir, "events"), "value"), "x", digits=6), "density", digits=9)
 
 
 def _box_sql(c: str) -> str:
@@ -438,11 +514,97 @@ def chart_box_stats(spark, sf_dir):
     return rounded(charts.box_stats(table(spark, sf_dir, "lineitem"), [*BOXED, "l_returnflag"]), "q1", "median", "q3")
 
 
-@query()
+TOLD = f"({_estimate_sql('l_extendedprice', '1000000.0')} UNION ALL {_estimate_sql('l_tax', '1000000.0')})"
+
+
+@query(
+    f"""WITH told AS (SELECT *, std_error / mean * 100 AS cv FROM {TOLD})
+    SELECT '<b>Summary of lineitem</b><br><br>Weighted estimates were made for 2 variables.<br><br>'
+    || string_agg(format('<b>{{}}</b>: the weighted mean is {{:,.2f}} (95% interval {{:,.2f}} to {{:,.2f}}), with a standard error of {{:,.4f}} at an effective sample of {{:,.2f}}, of ',
+        "column", mean, ci_95_lower, ci_95_upper, std_error, n_effective)
+        || CASE WHEN cv < 5 THEN 'high' WHEN cv < 15 THEN 'moderate' ELSE 'low' END
+        || format(' reliability at a coefficient of variation of {{:.1f}}%. Projected to the population, the total is {{:,.2f}}.', round_even(cv, 1), population_estimate), '<br><br>' ORDER BY "column")
+    || '<br><br>Method: design weights, effective sample size after Kish, Student intervals on its degrees of freedom.' AS summary FROM told"""
+)
 def narrative_summary(spark, sf_dir):
     return spark.createDataFrame([(narrative.summary(_estimates(spark, sf_dir, ["l_extendedprice", "l_tax"], 1e6), "lineitem"),)], "summary string")
 
 
+@query(
+    f"""SELECT format('<tr><td>{{}}</td><td>{{:,.4f}}</td><td>{{:,.4f}}</td><td>{{:,.4f}} to {{:,.4f}}</td><td>{{:,.4f}}</td></tr>', "column", mean, std_error, ci_95_lower, ci_95_upper, population_estimate) AS line FROM {TOLD}
+    UNION ALL SELECT '<li>loaded</li>' UNION ALL SELECT '<li>a &lt; b</li>'"""
+)
+def report_lines(spark, sf_dir):
+    """The rows of the report's estimate table and of its log."""
+    tables = registry.Registry()
+    tables.put("lineitem", table(spark, sf_dir, "lineitem"))
+    page = report.report(report.analyse(tables, "lineitem", ["l_extendedprice", "l_tax"], "l_quantity", 1e6), log=["loaded", "a < b"])
+    return spark.createDataFrame([(x,) for x in re.findall(r"<tr><td>.*?</tr>|<li>.*?</li>", page)], "line string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, 2 AS version FROM nation")
+def registry_replace(spark, sf_dir):
+    """A table put twice under one name is the second, of version 2, also as a view."""
+    tables = registry.Registry()
+    tables.put("survey file.csv", table(spark, sf_dir, "region"))
+    version = tables.put("survey file.csv", table(spark, sf_dir, "nation"))
+    return spark.table(tables.view("survey file.csv")).withColumn("version", F.lit(version))
+
+
+@query("SELECT * FROM (VALUES (0, 'regions version 1: loaded'), (1, 'regions version 2: cleaned'), (2, 'done')) AS t(line, message)")
+def registry_log(spark, sf_dir):
+    tables = registry.Registry()
+    tables.put("regions", table(spark, sf_dir, "region"))
+    tables.put("regions", table(spark, sf_dir, "region"), "cleaned")
+    tables.note("done")
+    return spark.createDataFrame([(i, x.split(": ", 1)[1]) for i, x in enumerate(tables.log)], "line int, message string")
+
+
+@query(
+    """SELECT 'region.parquet' AS name, true AS loaded, CAST(count(*) AS BIGINT) AS n FROM region UNION ALL SELECT 'nation.parquet', true, CAST(count(*) AS BIGINT) FROM nation
+    UNION ALL SELECT * FROM (VALUES ('notes.txt', false, 0), ('absent.parquet', false, 0))"""
+)
+def load_batch(spark, sf_dir):
+    """Of a batch, the files that load and those that don't: one bad file doesn't stop the others."""
+    found = readers.load_batch(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/notes.txt", f"{sf_dir}/absent.parquet", f"{sf_dir}/nation.parquet"])
+    rows = [(name, True, df.count()) for name, df in found.tables.items()] + [(path.rsplit("/", 1)[-1], False, 0) for path in found.failures]
+    return spark.createDataFrame(rows, "name string, loaded boolean, n long")
+
+
+@query("SELECT * FROM (VALUES ('s_weight'), ('s_age')) AS t(missing)")
+def schema_missing_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in schema.missing_columns(table(spark, sf_dir, "supplier"), ["s_weight", "s_name", "s_age", "s_acctbal"])], "missing string")
+
+
+@query("SELECT l_returnflag, CAST(count(l_tax) AS BIGINT) AS l_tax FROM lineitem GROUP BY l_returnflag")
+def records_response(spark, sf_dir):
+    """A pivot as the row dictionaries of a response."""
+    found = sinks.records(pivot.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_tax", "count"))
+    return spark.createDataFrame([(r["l_returnflag"], r["l_tax"]) for r in found], "l_returnflag string, l_tax long")
+
+
+@query(
+    'SELECT unnest([\'l_extendedprice\', \'l_discount\']) AS "column", round_even(unnest([(SELECT quantile_cont(l_extendedprice, 0.25) FROM lineitem), (SELECT quantile_cont(l_discount, 0.25) FROM lineitem)]), 6) AS q1, '
+    "round_even(unnest([(SELECT quantile_cont(l_extendedprice, 0.75) FROM lineitem), (SELECT quantile_cont(l_discount, 0.75) FROM lineitem)]), 6) AS q3"
+)
+def quantiles_by_brackets(spark, sf_dir):
+    """Quartiles by narrowed brackets, as for tables too large for one percentile aggregate."""
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_discount"], [0.25, 0.75], direct_rows=100)
+    return rounded(spark.createDataFrame([(c, *map(float, x)) for c, x in found.items()], "column string, q1 double, q3 double"), "q1", "q3", digits=6)
+
+
+@query(
+    """SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS respondents, true AS ages, true AS some_bad_ages, true AS some_missing, true AS some_high, true AS households, true AS weights"""
+)
+def synth_survey_invariants(spark, sf_dir):
+    age, income = F.col("Q1_Age_Years"), F.col("Income")
+    return synth.survey(spark).agg(
+        F.count("*").alias("n"), F.count_distinct("Respondent_ID").alias("respondents"), F.bool_and((age == -5) | age.between(18, 79)).alias("ages"),
+        F.count_if(age == -5).between(1, 30).alias("some_bad_ages"), F.count_if(income.isNull()).between(20, 90).alias("some_missing"), F.count_if(income > 200_000).between(1, 20).alias("some_high"),
+        F.bool_and(F.col("Household_Size").between(1, 5)).alias("households"), F.bool_and((F.col("Survey_Weight") >= 0.8) & (F.col("Survey_Weight") < 1.5)).alias("weights"),
+    )
+
+
 @query()
 def synth_survey(spark, sf_dir):
     return synth.survey(spark)

@@ -12,7 +12,11 @@ from pyspark.sql import types as T
 
 from canvass.functions.columns import col, numeric_columns, require_numeric
 from canvass.functions.quantiles import exact_quantiles
-from canvass.operators.clean import fences
+from canvass.operators.clean import fences, fences_of
+
+
+#: Up to this many bins are put together on the driver.
+LOCAL_BINS = 10_000
 
 
 def automatic_bins(n: int, low: float, high: float, iqr: float, whole: bool) -> int:
@@ -42,8 +46,12 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
+    edges = [low + k * width for k in range(bins)] if bins <= LOCAL_BINS else None
     number = F.least(F.floor((x - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1)) + 1
     counts = df.where(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count("*").alias("count"))
+    if edges:
+        held = dict(counts.collect())  # a row for each bin
+        return df.sparkSession.createDataFrame([(k + 1, a, low + (k + 1) * width, held.get(k + 1, 0)) for k, a in enumerate(edges)], shape)
     every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     edge = lambda k: F.lit(low) + k * F.lit(width)
     return every.join(counts, "bin", "left").select("bin", edge(F.col("bin") - 1).alias("low"), edge(F.col("bin")).alias("high"), F.coalesce("count", F.lit(0)).alias("count")).orderBy("bin")
@@ -69,7 +77,8 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame | None:
     names = [c for c in columns if c in numeric_columns(df)]
     if not names:
         return None
-    quartiles, bounds = exact_quantiles(df, names, [0.25, 0.5, 0.75]), fences(df, names)
+    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
+    bounds = {c: fences_of(a, b) for c, (a, _, b) in quartiles.items()}
     tests = []
     for c in names:
         low, high = bounds[c] if bounds[c][0] is not None else (0.0, 0.0)
@@ -98,3 +107,23 @@ def png_base64(draw) -> str | None:
     held = io.BytesIO()
     figure.savefig(held, format="png", bbox_inches="tight")
     return base64.b64encode(held.getvalue()).decode()
+
+
+def draw_histogram(bins: DataFrame, density_line: DataFrame | None = None):
+    """For png_base64: bars of a histogram table and, if given, a density scaled to counts."""
+    rows = bins.collect()  # a row for each bin
+    line = density_line.collect() if density_line is not None else []
+
+    def draw(axes) -> None:
+        axes.bar([r["low"] for r in rows], [r["count"] for r in rows], width=[r["high"] - r["low"] for r in rows], align="edge")
+        if line:
+            axes.plot([r["x"] for r in line], [r["density"] for r in line])
+        axes.set_ylabel("Count")
+
+    return draw
+
+
+def draw_boxes(boxes: DataFrame):
+    """For png_base64: a box for each row of box statistics."""
+    stats = [{"label": r["column"], "q1": r["q1"], "med": r["median"], "q3": r["q3"], "whislo": r["whisker_low"], "whishi": r["whisker_high"], "fliers": []} for r in boxes.collect()]
+    return lambda axes: axes.bxp(stats, showfliers=False)

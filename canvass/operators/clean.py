@@ -26,6 +26,8 @@ class Change:
     column: str
     found: int
     changed: int
+    #: The bounds of a range rule.
+    detail: str = ""
 
 
 @dataclass(frozen=True)
@@ -60,13 +62,13 @@ def first_failure(tests: dict[str, Column]) -> Column:
     return chain if tests else F.lit(None).cast("string")
 
 
-def _attributed(df: DataFrame, tests: dict[str, Column], step: str) -> tuple[DataFrame, list[Change]]:
+def _attributed(df: DataFrame, tests: dict[str, Column], step: str, details: dict[str, str] | None = None) -> tuple[DataFrame, list[Change]]:
     """Rows that pass all tests, and what each test, in order, would remove of what the ones before left."""
     if not tests:
         return df, []
     verdict = first_failure(tests)
     counts = df.agg(*[F.count_if(verdict == name) for name in tests]).first()
-    changes = [Change(step, name, n, n) for name, n in zip(tests, counts, strict=True) if n]
+    changes = [Change(step, name, n, n, (details or {}).get(name, "")) for name, n in zip(tests, counts, strict=True) if n]
     return df.where(functools.reduce(operator.and_, [F.coalesce(x, F.lit(False)) for x in tests.values()])), changes
 
 
@@ -112,8 +114,12 @@ def impute(df: DataFrame, method: str | None, columns: list[str] | None = None)
 
 def fences(df: DataFrame, columns: list[str], reach: float = 1.5) -> dict[str, tuple[float | None, float | None]]:
     """Lower and upper fence of each column, from the same input."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.75])
-    return {c: (None, None) if a is None else (a - reach * (b - a), b + reach * (b - a)) for c, (a, b) in quartiles.items()}
+    return {c: fences_of(a, b, reach) for c, (a, b) in exact_quantiles(df, columns, [0.25, 0.75]).items()}
+
+
+def fences_of(low: float | None, high: float | None, reach: float = 1.5) -> tuple[float | None, float | None]:
+    """Fences from the two quartiles."""
+    return (None, None) if low is None else (low - reach * (high - low), high + reach * (high - low))
 
 
 def remove_outliers(df: DataFrame, columns: list[str] | None = None, method: str = "iqr", keep_nulls: bool = False) -> tuple[DataFrame, list[Change]]:
@@ -144,6 +150,7 @@ def apply_rules(df: DataFrame, rules: Rules | None) -> tuple[DataFrame, list[Cha
     ranges = [r for r in rules.ranges if r.column in df.columns]
     require_numeric(df, [r.column for r in ranges])
     tests: dict[str, Column] = {}
+    details = {f"{i}: range {r.column}": f"{'open' if r.low is None else r.low} to {'open' if r.high is None else r.high}" for i, r in enumerate(ranges)}
     for i, r in enumerate(ranges):
         passes = col(r.column).isNotNull()
         if r.low is not None:
@@ -154,7 +161,7 @@ def apply_rules(df: DataFrame, rules: Rules | None) -> tuple[DataFrame, list[Cha
     needed = [c for c in rules.mandatory if c in df.columns]
     if needed:
         tests[f"mandatory {', '.join(needed)}"] = functools.reduce(operator.and_, [col(c).isNotNull() for c in needed])
-    return _attributed(df, tests, "rules")
+    return _attributed(df, tests, "rules", details)
 
 
 def clean(df: DataFrame, impute_method: str | None = None, outliers: bool = False, rules: Rules | None = None) -> tuple[DataFrame, list[Change]]:

@@ -61,6 +61,10 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     return tests.select(F.inline(rows)).where("equal").select("pair")
 
 
+def shape(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("row_count"), F.lit(len(df.columns)).cast("long").alias("col_count"))
+
+
 def profile(df: DataFrame, filename: str) -> dict:
     """The upload profile: counts, duplicate columns, numeric columns and headers."""
     first = df.agg(F.count("*").alias("rows"), *[F.count_if(col(c).isNull()) for c in df.columns]).first()

@@ -24,6 +24,8 @@ def summary(estimates: DataFrame, title: str = "the survey", absolute: bool = Fa
         text = f"<b>{html.escape(r['column'])}</b>: the weighted mean is {r['mean']:,.2f}"
         if r["ci_95_lower"] is not None:
             text += f" (95% interval {r['ci_95_lower']:,.2f} to {r['ci_95_upper']:,.2f})"
+        if r["std_error"] is not None:
+            text += f", with a standard error of {r['std_error']:,.4f} at an effective sample of {r['n_effective']:,.2f}"
         text += f", of {r['reliability']} reliability" + (f" at a coefficient of variation of {r['cv']:.1f}%." if r["cv"] is not None else ".")
         if r["population_estimate"] is not None:
             text += f" Projected to the population, the total is {r['population_estimate']:,.2f}."

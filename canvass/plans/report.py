@@ -41,6 +41,19 @@ def visuals(analysis: Analysis) -> dict[str, DataFrame | str | None]:
     return {"histogram": charts.histogram(analysis.table, analysis.targets[0]), "box": charts.box_stats(analysis.table, list(analysis.targets)), "summary": summary(analysis.estimates, analysis.name)}
 
 
+def pictures(analysis: Analysis) -> dict[str, str | None]:
+    """PNG images of the histogram with its density and of the box plot, for ``report``; None without a plotting library."""
+    table, target = analysis.table, analysis.targets[0]
+    bins = charts.histogram(table, target)
+    held = bins.agg({"count": "sum"}).first()[0]
+    scale = held * (lambda r: r["high"] - r["low"])(bins.first()) if held else 0.0
+    boxes = charts.box_stats(table, list(analysis.targets))
+    return {
+        "histogram": charts.png_base64(charts.draw_histogram(bins, charts.density(table, target, scale=scale))) if held else None,
+        "box plot": charts.png_base64(charts.draw_boxes(boxes)) if boxes is not None else None,
+    }
+
+
 def _number(x: float | None) -> str:
     return "N/A" if x is None else f"{x:,.4f}"
 

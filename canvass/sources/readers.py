@@ -19,9 +19,19 @@ NA_TOKENS = (
 MOST_FILES = 5
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """First row as header; types are inferred from all rows in one aggregate. A column without values is double."""
-    text = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue=None)
+def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Some line has an odd number of quotes, so that a cell goes on in the next one."""
+    line = F.col("value")
+    return not spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """First row as header; types are inferred from all rows in one aggregate. A column without values is double.
+
+    Files are read in splits unless cells hold line ends: multi_line says so, None looks.
+    """
+    multi_line = has_quoted_line_ends(spark, path) if multi_line is None else multi_line
+    text = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue=None)
     return infer_types(text)
 
 

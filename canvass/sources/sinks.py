@@ -12,9 +12,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).csv(path, header=True)
 
 
-def records(df: DataFrame) -> list[dict]:
-    """Row dictionaries of a small result, keys included."""
-    return [json.loads(x) for x in df.toJSON().collect()]
+#: Most rows of a response.
+RECORDS = 100_000
+
+
+def records(df: DataFrame, most: int = RECORDS) -> list[dict]:
+    """Row dictionaries of a small result, keys included; a larger one is an error, not cut."""
+    found = df.toJSON().take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"over {most} rows: write them with a sink instead")
+    return [json.loads(x) for x in found]
 
 
 def write_html(html: str, path: str) -> None:
