@@ -6,8 +6,8 @@ and a backslash is put into each ``<|``, so that no mark nor special token of th
 backslashes. The string is encoded once with offsets, and the sorted spans of the learned turns are met with the sorted
 token spans by binary search.
 
-Cases: null texts and roles are empty; turns are ordered by turn, null first, then role and text; repeated turns all stay; a null
-conv_id is a conversation of its own; an empty table gives an empty result; further columns are ignored. A conversation is one row of
+Cases: null texts and roles are empty; turns are ordered by turn, null first, then role and text; repeated turns all stay; each row
+with a null conv_id is a conversation of its own; an empty table gives an empty result; further columns are ignored. A conversation is one row of
 the result, and memory is bounded by the longest conversation.
 """
 
@@ -80,11 +80,17 @@ def load_tokenizer(definition: str):
     return found
 
 
+def _lists(*columns: list[np.ndarray]) -> list[pa.Array]:
+    """List arrays from the flat values of each."""
+    return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in columns]
+
+
 def format_conversations(rows: DataFrame, definition: str, learned: str = "assistant") -> DataFrame:
     """rows (conv_id, turn, role, text) -> (conv_id, formatted, ids, starts, ends, mask): starts and ends are token offsets in code points."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), empty("role"), empty("text"))))
-    grouped = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
+    apart = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", apart.alias("apart")).groupBy("conv_id", "apart").agg(turns.alias("turns")).drop("apart")
     shared = rows.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,7 @@ def format_conversations(rows: DataFrame, definition: str, learned: str = "assis
                 offsets = [np.array(x.offsets, np.int64).reshape(-1, 2) for x in found]
                 masks = [mask_tokens(o, spans) for o, (_, spans) in zip(offsets, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x for x, _ in made], pa.string()), pa.array([x.ids for x in found], pa.list_(pa.int32())), pa.array([o[:, 0] for o in offsets], pa.list_(pa.int32())), pa.array([o[:, 1] for o in offsets], pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))],
+                    [part.column(0), pa.array([x for x, _ in made], pa.string()), pa.array([x.ids for x in found], pa.list_(pa.int32())), *_lists([o[:, 0].astype(np.int32) for o in offsets], [o[:, 1].astype(np.int32) for o in offsets], masks)],
                     names=["conv_id", "formatted", "ids", "starts", "ends", "mask"],
                 )
 
@@ -110,11 +116,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in range(6)]
-            for x in batch.to_pylist():
-                turns = read_turns(x["formatted"])
-                loss = masked_text(x["formatted"], np.column_stack([x["starts"], x["ends"]]).astype(np.int64).reshape(-1, 2), np.array(x["mask"], bool))
+            numbers = [batch.column(i) for i in (2, 3, 4)]
+            for i, (conv_id, formatted) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True)):
+                turns = read_turns(formatted)
+                starts, ends, mask = (x[i].values.to_numpy(zero_copy_only=False) for x in numbers)
+                loss = masked_text(formatted, np.column_stack([starts, ends]).astype(np.int64).reshape(-1, 2), mask)
                 whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-                row = (x["conv_id"], len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(x["formatted"]))
+                row = (conv_id, len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted))
                 for values, value in zip(out, row, strict=True):
                     values.append(value)
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())

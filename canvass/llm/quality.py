@@ -12,6 +12,7 @@ Cases: null and empty texts have the bias alone; null labels are left out of tra
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ _KIND = np.zeros(256, np.int8)
 _KIND[33:127] = 2
 for _part in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
     _KIND[list(_part)] = 1
+_NO_TOKEN = re.compile(b"[" + re.escape(bytes(np.flatnonzero(_KIND == 0).tolist())) + b"]")
 
 
 def _number(hashes: np.ndarray, dimensions: int) -> np.ndarray:
@@ -35,8 +37,12 @@ def _number(hashes: np.ndarray, dimensions: int) -> np.ndarray:
 def features(text: str | None, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values of a text; number 0 is the bias, 1 a repeated token."""
     data, parts = (text or "").encode("utf-8", "surrogatepass"), []
-    for at in range(0, len(data), PIECE):
-        piece = data[at : at + PIECE]
+    at, last, carried = 0, -1, 0
+    while at < len(data):
+        # A piece ends where a token does, and the next one starts with its last token, so that cuts change nothing.
+        stop = _NO_TOKEN.search(data, max(at + PIECE, last + 1))
+        last = stop.start() if stop else len(data)
+        piece = data[at:last]
         kinds = _KIND[np.frombuffer(piece, np.uint8)]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]])
         starts, ends = edges[:-1], edges[1:]
@@ -44,7 +50,8 @@ def features(text: str | None, dimensions: int = DIMENSIONS) -> tuple[np.ndarray
         starts, ends, span = starts[inside], ends[inside], SpanHasher(piece)
         single = span(starts, ends)
         pair = span(starts[:-1], ends[1:])
-        parts += [_number(single, dimensions), _number(pair, dimensions), np.ones(int((single[1:] == single[:-1]).sum()), np.int32)]
+        parts += [_number(single[carried:], dimensions), _number(pair, dimensions), np.ones(int((single[1:] == single[:-1]).sum()), np.int32)]
+        at, carried = (last, 0) if not stop or not len(starts) else (at + int(starts[-1]), 1)
     hashed = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     index, counts = np.unique(hashed, return_counts=True)
     values = 1 + np.log(counts)
@@ -92,7 +99,8 @@ def train(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, epochs: int =
     marks = marks.where("label is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = marks.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("draw", "doc_id", "label").limit(sample)
     # At most ``sample`` rows of three numbers: a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Of several documents of one doc_id the least text, so that the rows are bounded as well.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "draw", "label").agg(F.min("text").alias("text"))
     rows = rows.withColumn("epoch", F.explode(F.array(*[F.lit(i) for i in range(epochs)])))
     ordered = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("draw", "epoch"), "label", "text")
     found = ordered.select("text", "label").mapInPandas(_trainer(dimensions), "weights binary").collect()

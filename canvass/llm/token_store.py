@@ -4,7 +4,7 @@ A shard is a pair of files in the shared folder: ``.ids`` holds the raw little-e
 (two bytes each where the vocabulary allows, else four), and ``.index`` is a NumPy archive with the minimal perfect hash of the shard's
 document keys: under a key's number stand its fingerprint and its first entry; entries (key, first id, ids) are
 in ascending key order. A key is found in constant time and a key that is absent is told by its fingerprint.
-Shards are key ranges in ascending order. Each task writes under a name of its own and renames at the
+Shards are key ranges in ascending order, of a bounded size: a task goes on in a new one. Keyed access reads the index and, of the ids, the document's alone. Each task writes under a name of its own and renames at the
 end, so a task that is run again leaves one whole file.
 
 Cases: null and empty texts have the end id alone; rows of one doc_id stay together, in order of their texts, and a lookup
@@ -34,6 +34,8 @@ from canvass.llm.mph import MinimalPerfectHash
 from canvass.llm.spans import U, mix
 
 NULL_KEY = -(2**63)
+#: Bytes of ids from which a task goes on in a new shard.
+SHARD_BYTES = 128 << 20
 #: New chunks that go to the library as one text.
 TOGETHER = 1024
 _SIGNS = ",.;:!?"
@@ -155,50 +157,72 @@ class Shard:
         return np.frombuffer(self.payload, self.dtype, int(self.count[entry]), int(self.first[entry]) * size)
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The folder with its scheme, as Hadoop resolves it: a path without one is in the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
+
+
+class _ShardWriter:
+    """One shard while it is written."""
+
+    def __init__(self, store: fs.FileSystem, base: str, name: str):
+        self.store, self.base, self.name, self.keys, self.counts = store, base, name, [], []
+        self.out = store.open_output_stream(f"{base}/{name}.part")
 
+    def add(self, key: int, ids: bytes, count: int) -> None:
+        self.keys.append(key)
+        self.counts.append(count)
+        self.out.write(ids)
 
-def _writer(root: str, encoder, end_id: int):
+    def close(self) -> tuple[str, int, int, int, int]:
+        self.out.close()
+        counted, held = np.array(self.counts, np.int64), io.BytesIO()
+        np.savez(held, **build_index(np.array(self.keys, np.int64), np.cumsum(counted) - counted, counted))
+        with self.store.open_output_stream(f"{self.base}/{self.name}.index.part") as index:
+            index.write(held.getvalue())
+        for end in ("", ".index"):
+            self.store.move(f"{self.base}/{self.name}{end}.part", f"{self.base}/{self.name}{end or '.ids'}")
+        return self.name, self.keys[0], self.keys[-1], int(counted.sum()), len(counted)
+
+
+def _writer(root: str, encoder, end_id: int, shard_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder_, own, low, high, total = encoder.value, uuid.uuid4().hex, None, None, 0
-        keys, counts, store, base = [], [], None, ""
-        end, size = encoder_.pack([end_id]), np.dtype(encoder_.dtype).itemsize
+        encoder_, own, number, held, shard = encoder.value, uuid.uuid4().hex, 0, 0, None
+        end, size, done = encoder_.pack([end_id]), np.dtype(encoder_.dtype).itemsize, []
+        store, base = _open(root)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if store is None:
-                store, base = _open(root)
-                out = store.open_output_stream(f"{base}/{own}.part")
-            own_keys = batch.column(0).fill_null(NULL_KEY).to_pylist()
-            keys += own_keys
-            for ids in encoder_.encode(x.as_py() for x in batch.column(1)):
-                counts.append(len(ids) // size + 1)
-                out.write(ids + end)
-        if store is not None:
-            out.close()
-            counted = np.array(counts, np.int64)
-            held = io.BytesIO()
-            np.savez(held, **build_index(np.array(keys, np.int64), np.cumsum(counted) - counted, counted))
-            with store.open_output_stream(f"{base}/{own}.index.part") as index:
-                index.write(held.getvalue())
-            for name in ("", ".index"):
-                store.move(f"{base}/{own}{name}.part", f"{base}/{own}{name or '.ids'}")
-            low, high, total = keys[0], keys[-1], int(counted.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (own, low, high, total, len(keys))], names=["shard", "low", "high", "n_tokens", "n_docs"])
+            keys = batch.column(0).fill_null(NULL_KEY).to_pylist()
+            for key, ids in zip(keys, encoder_.encode(x.as_py() for x in batch.column(1)), strict=True):
+                if shard is None:
+                    shard, number, held = _ShardWriter(store, base, f"{own}-{number:06d}"), number + 1, 0
+                shard.add(key, ids + end, len(ids) // size + 1)
+                held += len(ids) + size
+                if held >= shard_bytes:
+                    done.append(shard.close())
+                    shard = None
+        if shard is not None:
+            done.append(shard.close())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["shard", "low", "high", "n_tokens", "n_docs"])
 
     return rows
 
 
-def write_store(docs: DataFrame, encoder: LibraryEncoder, root: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Writes docs in ascending key order; gives the manifest, saved beside the shards: (shard, low, high, n_tokens, n_docs, start)."""
+def write_store(docs: DataFrame, encoder: LibraryEncoder, root: str, end_id: int = 0, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes docs in ascending key order, to shards of about shard_bytes at most; gives the manifest, saved beside the shards: (shard, low, high, n_tokens, n_docs, start)."""
     spark, dtype = docs.sparkSession, encoder.dtype
-    shared = spark.sparkContext.broadcast(encoder)
+    shared, root = spark.sparkContext.broadcast(encoder), _qualified(spark, root)
     store, base = _open(root)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = rows.mapInArrow(_writer(root, shared, end_id), "shard string, low long, high long, n_tokens long, n_docs long")
+    manifest = rows.mapInArrow(_writer(root, shared, end_id, shard_bytes), "shard string, low long, high long, n_tokens long, n_docs long")
     manifest.write.parquet(f"{root}/manifest")  # a row for each shard
     manifest = spark.read.parquet(f"{root}/manifest").withColumn("dtype", F.lit(dtype))
     before = F.sum("n_tokens").over(Window.orderBy("low", "high", "shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -207,6 +231,7 @@ def write_store(docs: DataFrame, encoder: LibraryEncoder, root: str, end_id: int
 
 def read_store(manifest: DataFrame, root: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, looked up by key in the shards."""
+    root = _qualified(manifest.sparkSession, root)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(root)
@@ -226,14 +251,15 @@ def read_store(manifest: DataFrame, root: str) -> DataFrame:
 def get_document(spark: SparkSession, manifest: DataFrame, root: str, key: int) -> list[np.ndarray]:
     """The ids of one document, for each row of its key, by constant-time lookup in the shard of its range."""
     out = []
-    store, base = _open(root)
-    for x in manifest.where((F.col("low") <= key) & (F.col("high") >= key)).collect():
+    store, base = _open(_qualified(spark, root))
+    for x in manifest.where((F.col("low") <= key) & (F.col("high") >= key)).orderBy("start").collect():  # neighbours, if the key is repeated
         with store.open_input_file(f"{base}/{x['shard']}.index") as index, store.open_input_file(f"{base}/{x['shard']}.ids") as ids:
-            shard = Shard(index.read(), ids.read(), x["dtype"])
-        entry = int(shard.entries(np.array([key], np.int64))[0])
-        while 0 <= entry < len(shard.key) and shard.key[entry] == key:
-            out.append(shard.get(entry))
-            entry += 1
+            shard = Shard(index.read(), b"", x["dtype"])
+            entry = int(shard.entries(np.array([key], np.int64))[0])
+            while 0 <= entry < len(shard.key) and shard.key[entry] == key:
+                ids.seek(int(shard.first[entry]) * shard.dtype.itemsize)
+                out.append(np.frombuffer(ids.read(int(shard.count[entry]) * shard.dtype.itemsize), shard.dtype))
+                entry += 1
     return out
 
 

@@ -315,7 +315,7 @@ def test_pipeline_by_stages(spark):
     whole = table(spark, "documents", "/root/testdata/sf0.01")
     assert all(kept[n].columns == whole.columns for n in list(kept)[:4])
     after = kept["near_duplicates"].toPandas()
-    groups = simhash.near_duplicates(kept["quality"]).toPandas()
+    groups = simhash.near_duplicates(kept["quality"], shingle=5, similarity=0.8).toPandas()
     assert set(after.doc_id) == set(groups.component_id)
     clean = set(kept["decontamination"].toPandas().doc_id)
     leaks = {r.doc_id for r in decontaminate.contaminated(kept["near_duplicates"], table(spark, "benchmark", "/root/testdata/sf0.01")).collect()}
