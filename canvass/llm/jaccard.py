@@ -5,7 +5,9 @@ sets are one class. Two sets whose similarity is at least s share an element amo
 whatever the order of elements, so classes that share one of those are all the candidates there are: none is missed.
 Elements that are common in a sample of texts come last in that order, which keeps the groups small; the sample affects speed alone.
 
-Each candidate pair's similarity is computed from the whole sets before it links. In groups of over CROWD classes not all pairs are
+A candidate pair is first tried on sketches: the counts of a set's elements in BINS bins by hash. The sum of the lesser counts is at least the number
+of common elements, so that a pair whose sketches leave no room for the similarity is discarded and none is missed. The similarity of
+each pair that is left is computed from the whole sets before it links. In groups of over CROWD classes not all pairs are
 needed, as only components count: all meet the most central class, for as long as that links some; a group whose classes then are in one component is
 settled, and in the others each class outside the largest component meets all classes of the other components.
 
@@ -17,19 +19,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import Scratch, broadcast_if_small
+from canvass.llm.common import Scratch, broadcast_by_bytes, broadcast_if_small
 from canvass.llm.components import connected_components
 from canvass.llm.spans import SpanHasher, mix, word_bounds
 
 SHINGLE, SIMILARITY, CROWD, ROUNDS, BROADCAST_ROWS = 5, 0.8, 32, 3, 500_000
 #: One text in SAMPLE is looked at for common elements; those in at least COMMON of them, COMMON_ROWS at most, come last.
 SAMPLE, COMMON, COMMON_ROWS = 16, 4, 500_000
+#: Bins of a sketch.
+BINS = 128
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,6 +53,16 @@ def signature(found: np.ndarray) -> int:
     return int(mix(np.array([mix(found).sum(dtype=np.uint64) + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(found: np.ndarray) -> bytes:
+    return np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
+
+
+def most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketches, row by row -> upper bounds of the similarities of their sets."""
+    common = np.minimum(a, b).sum(axis=1)
+    return common / np.maximum(a.sum(axis=1) + b.sum(axis=1) - common, 1)
+
+
 def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
@@ -69,7 +84,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, sig, n, prefix): the set's hash and size, and the elements that candidates share one of."""
+    """docs (doc_id, text) -> (doc_id, sig, n, prefix, sketch): the set's hash and size, and the elements that candidates share one of."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,10 +98,10 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     rank = np.where(hashes[at] == found, counts[at], 0)
                 first = found[np.lexsort((found, rank))[: prefix_size(len(found), similarity)]]
-                rows.append((doc_id, signature(found), len(found), first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "sig", "n", "prefix"])
+                rows.append((doc_id, signature(found), len(found), first.view(np.int64), sketch(found)))
+            yield pd.DataFrame(rows, columns=["doc_id", "sig", "n", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, sig long, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, sig long, n int, prefix array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -100,11 +115,35 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInPandas(of, "sig long, elements array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) -> those whose sets are similar."""
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+@dataclass
+class Classes:
+    """What pairs are verified with: sketches (sig, sketch) and sets (sig, elements), the latter with a row or more for each class."""
+
+    sketches: DataFrame
+    sets: DataFrame
+    scratch: Scratch
+
+    def verified(self, pairs: DataFrame, similarity: float, name: str) -> DataFrame:
+        """pairs (a, b) -> those whose sets are similar."""
+
+        @F.pandas_udf("boolean")
+        def room(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for x, y in parts:
+                a, b = (np.frombuffer(b"".join(c), np.uint32).reshape(-1, BINS).astype(np.int64) for c in (x, y))
+                yield pd.Series(most_similar(a, b) >= similarity - 1e-9)
+
+        of = lambda table, value, key, new: table.select(F.col("sig").alias(key), F.col(value).alias(new))
+        both = pairs.join(of(self.sketches, "sketch", "a", "x"), "a").join(of(self.sketches, "sketch", "b", "y"), "b")
+        likely = self.scratch.save(f"{name}_likely", both.where(room("x", "y")).select("a", "b"))
+        ends = self.scratch.save(f"{name}_ends", likely.select(F.col("a").alias("sig")).union(likely.select("b")).distinct())
+        few = self.sets.join(broadcast_by_bytes(ends), "sig", "left_semi").dropDuplicates(["sig"])
+        few = self.scratch.save(f"{name}_sets", few)
+        found = likely.join(of(few, "elements", "a", "x"), "a").join(of(few, "elements", "b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        found = found.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+        found = self.scratch.save(name, found)
+        self.scratch.drop(f"{name}_likely", f"{name}_ends", f"{name}_sets")
+        return found
 
 
 def _fit(similarity: float):
@@ -122,12 +161,12 @@ def _pairs(left: DataFrame, right: DataFrame, similarity: float, *apart) -> Data
     return met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
 
 
-def links(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """members (h, sig, n, k: elements in the prefix), sets (sig, elements) -> links (a, b), enough to connect all similar pairs of a group."""
+def links(members: DataFrame, classes: Classes, scratch: Scratch, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """members (h, sig, n, k: elements in the prefix) -> links (a, b), enough to connect all similar pairs of a group."""
     sizes = members.groupBy("h").agg(F.count("*").alias("members"))
     members = scratch.save("members", members.join(sizes, "h"))
     few = members.where(F.col("members") <= crowd).select("h", "sig", "n")
-    found = scratch.save("links", _verified(scratch.save("pairs", _pairs(few, few, similarity, F.col("sig_a") < F.col("sig_b"))), sets, similarity))
+    found = classes.verified(scratch.save("pairs", _pairs(few, few, similarity, F.col("sig_a") < F.col("sig_b"))), similarity, "links")
     many = members.where(F.col("members") > crowd)
     # A class with few elements of its own has most of its prefix in crowded groups.
     central = many.groupBy("sig").agg((F.count("*") / F.first("k")).alias("central"))
@@ -138,7 +177,7 @@ def links(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: flo
     for turn in range(ROUNDS):
         hub = outside.groupBy("h").agg(F.max_by(F.struct("sig", "n"), F.struct("central", "sig")).alias("hub")).select("h", "hub.sig", "hub.n")
         star = scratch.save(f"star{turn}", _pairs(hub, many.select("h", "sig", "n"), similarity))
-        fresh = scratch.save(f"links{turn}", _verified(star, sets, similarity))
+        fresh = classes.verified(star, similarity, f"links{turn}")
         found = found.union(fresh)
         groups = connected_components(found, Scratch(scratch.spark, "jaccard-round"))
         placed = many.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
@@ -149,7 +188,7 @@ def links(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: flo
         if fresh.isEmpty() or outside.groupBy("h").count().where(F.col("count") > crowd).isEmpty():
             break
     rest = _pairs(outside.select("h", "sig", "n", "component"), placed.select("h", "sig", "n", "component"), similarity, F.col("component_a") != F.col("component_b"))
-    return found.union(scratch.save("rest", _verified(scratch.save("restpairs", rest), sets, similarity)))
+    return found.union(classes.verified(scratch.save("restpairs", rest), similarity, "rest"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -167,10 +206,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     n_wanted = wanted.count()
     ids = rows.join(broadcast_if_small(wanted, n_wanted, BROADCAST_ROWS), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = known.join(broadcast_if_small(ids, n_wanted, BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = scratch.save("sets", _sets(texts, shingle).dropDuplicates(["sig"]))
-    groups = connected_components(links(members, sets, scratch, similarity, crowd), scratch)
+    sketches = prefixes.select("sig", "sketch").join(broadcast_if_small(wanted, n_wanted, BROADCAST_ROWS), "sig").groupBy("sig").agg(F.min("sketch").alias("sketch"))
+    known_classes = Classes(scratch.save("sketches", sketches), scratch.save("sets", _sets(texts, shingle)), scratch)
+    groups = connected_components(links(members, known_classes, scratch, similarity, crowd), scratch)
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     out = scratch.save("out", rows.join(classes.join(least, "component").select("sig", "component_id"), "sig").select("doc_id", "component_id"))
-    scratch.drop("prefixes", "met", "grouped", "wanted", "sets", "members", "pairs", "many", "restpairs", *[f"{x}{i}" for x in ("star", "placed", "outside") for i in range(ROUNDS)])
+    scratch.drop("prefixes", "met", "grouped", "wanted", "sketches", "sets", "members", "pairs", "many", "restpairs", *[f"{x}{i}" for x in ("star", "placed", "outside") for i in range(ROUNDS)])
     return out.unionByName(own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
