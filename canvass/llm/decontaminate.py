@@ -40,9 +40,16 @@ PART, BROADCAST_ROWS = 4096, 1_000_000
 UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 
 
+#: A cheap test that every text with such a script meets: a character from their lowest block on, general punctuation and signs aside.
+_PERHAPS_UNSPACED = r"[\u0E00-\u1FFF\u2E80-\x{10FFFF}]"
+
+
 def tokens(text: Column) -> Column:
+    between = r"[^\p{L}\p{N}]+"
     # Splitting between two characters as well, where either is of such a script.
-    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}]+|(?<=[{UNSPACED}])(?!\p{{M}})|(?=[{UNSPACED}&&\p{{L}}])"), lambda x: x != "")
+    closer = rf"{between}|(?<=[{UNSPACED}])(?!\p{{M}})|(?=[{UNSPACED}&&\p{{L}}])"
+    lower = F.lower(text)
+    return F.filter(F.when(text.rlike(_PERHAPS_UNSPACED), F.split(lower, closer)).otherwise(F.split(lower, between)), lambda x: x != "")
 
 
 def hashed_tokens(text: Column) -> Column:
