@@ -117,10 +117,15 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 @dataclass
 class Classes:
-    """What pairs are verified with: sketches (sig, sketch) and sets (sig, elements), the latter with a row or more for each class."""
+    """What pairs are verified with: sketches (sig, sketch), a document of each class (sig, doc_id) and the texts (doc_id, text).
+
+    Sets are made from the texts of those classes alone whose pairs get past the sketches.
+    """
 
     sketches: DataFrame
-    sets: DataFrame
+    ids: DataFrame
+    docs: DataFrame
+    shingle: int
     scratch: Scratch
 
     def verified(self, pairs: DataFrame, similarity: float, name: str) -> DataFrame:
@@ -136,13 +141,16 @@ class Classes:
         both = pairs.join(of(self.sketches, "sketch", "a", "x"), "a").join(of(self.sketches, "sketch", "b", "y"), "b")
         likely = self.scratch.save(f"{name}_likely", both.where(room("x", "y")).select("a", "b"))
         ends = self.scratch.save(f"{name}_ends", likely.select(F.col("a").alias("sig")).union(likely.select("b")).distinct())
-        few = self.sets.join(broadcast_by_bytes(ends), "sig", "left_semi").dropDuplicates(["sig"])
+        ids = self.scratch.save(f"{name}_ids", self.ids.join(ends, "sig").select("doc_id").distinct())
+        texts = self.docs.join(broadcast_by_bytes(ids), "doc_id", "left_semi")
+        # A doc_id with several texts gives the sets of all of them.
+        few = _sets(texts, self.shingle).join(broadcast_by_bytes(ends), "sig", "left_semi").dropDuplicates(["sig"])
         few = self.scratch.save(f"{name}_sets", few)
         found = likely.join(of(few, "elements", "a", "x"), "a").join(of(few, "elements", "b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         found = found.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
         found = self.scratch.save(name, found)
-        self.scratch.drop(f"{name}_likely", f"{name}_ends", f"{name}_sets")
+        self.scratch.drop(f"{name}_likely", f"{name}_ends", f"{name}_ids", f"{name}_sets")
         return found
 
 
@@ -204,13 +212,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     members = scratch.save("grouped", members)
     wanted = scratch.save("wanted", members.select("sig").distinct())
     n_wanted = wanted.count()
-    ids = rows.join(broadcast_if_small(wanted, n_wanted, BROADCAST_ROWS), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = known.join(broadcast_if_small(ids, n_wanted, BROADCAST_ROWS), "doc_id", "left_semi")
-    sketches = prefixes.select("sig", "sketch").join(broadcast_if_small(wanted, n_wanted, BROADCAST_ROWS), "sig").groupBy("sig").agg(F.min("sketch").alias("sketch"))
-    known_classes = Classes(scratch.save("sketches", sketches), scratch.save("sets", _sets(texts, shingle)), scratch)
+    near = broadcast_if_small(wanted, n_wanted, BROADCAST_ROWS)
+    ids = scratch.save("ids", rows.join(near, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    sketches = scratch.save("sketches", prefixes.select("sig", "sketch").join(near, "sig").groupBy("sig").agg(F.min("sketch").alias("sketch")))
+    known_classes = Classes(sketches, ids, known, shingle, scratch)
     groups = connected_components(links(members, known_classes, scratch, similarity, crowd), scratch)
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     out = scratch.save("out", rows.join(classes.join(least, "component").select("sig", "component_id"), "sig").select("doc_id", "component_id"))
-    scratch.drop("prefixes", "met", "grouped", "wanted", "sketches", "sets", "members", "pairs", "many", "restpairs", *[f"{x}{i}" for x in ("star", "placed", "outside") for i in range(ROUNDS)])
+    scratch.drop("prefixes", "met", "grouped", "wanted", "sketches", "ids", "members", "pairs", "many", "restpairs", *[f"{x}{i}" for x in ("star", "placed", "outside") for i in range(ROUNDS)])
     return out.unionByName(own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
