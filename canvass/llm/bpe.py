@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from canvass.llm.mph import MinimalPerfectHash
 
-#: Chunks in each of a memory's two generations; chunks of texts that are looked up together; rows of a batch that goes back.
-REMEMBERED, TOGETHER, ROWS = 400_000, 200_000, 512
+#: Chunks in each of a memory's two generations (more are faster; some 0.2 kB each in every worker); chunks of texts that are looked up together; rows of a batch that goes back.
+REMEMBERED, TOGETHER, ROWS = 100_000, 50_000, 512
 # 0x1C to 0x1F are white space for Python alone.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 

@@ -36,8 +36,8 @@ from canvass.llm.spans import U, mix
 NULL_KEY = -(2**63)
 #: Bytes of ids from which a task goes on in a new shard.
 SHARD_BYTES = 128 << 20
-#: New chunks that go to the library as one text.
-TOGETHER = 1024
+#: New chunks that go to the library as one text; chunks in each generation of the memory.
+TOGETHER, REMEMBERED = 1024, 400_000
 _SIGNS = ",.;:!?"
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
@@ -59,7 +59,7 @@ class LibraryEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.library, self.memory = Tokenizer.from_str(self.definition), Memory()
+        self.library, self.memory = Tokenizer.from_str(self.definition), Memory(REMEMBERED)
         made = json.loads(self.definition)
         self.by_chunks = made.get("normalizer") is None and made["pre_tokenizer"] == made["pre_tokenizer"] | _BYTE_LEVEL
         added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
