@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from canvass.llm.spans import U, mix
 
 LEAST, SHARE, TOP, UNKNOWN = 10, 50, 2000, "und"
 #: Words of a shard's trie; bytes of text for each range, and least ranges; bytes of one text that are split at a time.
-FLUSH, RANGE_BYTES, RANGES, SLICE = 1 << 21, 32 << 20, 64, 4 << 20
+FLUSH, RANGE_BYTES, RANGES, SLICE = 1 << 20, 32 << 20, 32, 1 << 20
 #: Parts of a language's phrases that are ranked on their own first.
 DEALT = 32
 #: A-Z to lower case, piece ends (. , ; : ! ? and 0x0A to 0x0D) to a line feed, tab to a space.
@@ -69,25 +70,23 @@ class Shard:
             signs = np.frombuffer(data, np.uint8)
             apart = (signs == 32) | (signs == 10)
             first = np.flatnonzero(~apart & np.concatenate([[True], apart[:-1]]))
-            self.words.append(np.fromiter(map(self.ids[lang].__getitem__, words), np.int64, len(words)))
-            self.pieces.append(self.piece + np.searchsorted(np.flatnonzero(signs == 10), first))
+            self.words.append(np.fromiter(map(self.ids[lang].__getitem__, words), np.int32, len(words)))
+            self.pieces.append((self.piece + np.searchsorted(np.flatnonzero(signs == 10), first)).astype(np.int32))
             self.held += len(words)
         self.piece += data.count(b"\n")
         return data.endswith(b"\n")
 
-    def vocabulary(self, seed: int, bits: int = 64) -> tuple[list[str], list[bytes], np.ndarray]:
-        """Languages, words and their hashes, by number."""
-        langs, words, size = [], [], sum(map(len, self.ids.values()))
-        of, hashes = [None] * size, np.zeros(size, np.uint64)
+    def vocabulary(self, seed: int, bits: int = 64) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+        """(language, word) and their hashes, by number."""
+        size = sum(map(len, self.ids.values()))
+        of, hashes = [(b"", b"")] * size, np.zeros(size, np.uint64)
         for lang, own in self.ids.items():
-            start = xxhash.xxh64_intdigest(lang.encode(), seed)
+            code = lang.encode("utf-8", "surrogatepass")
+            start = xxhash.xxh64_intdigest(code, seed)
             for word, number in own.items():
-                of[number] = (lang, word)
+                of[number] = (code, word)
                 hashes[number] = xxhash.xxh64_intdigest(word, start)
-        for lang, word in of:
-            langs.append(lang)
-            words.append(word)
-        return langs, words, hashes >> U(64 - bits)
+        return of, hashes >> U(64 - bits)
 
 
 def _ranges(a: np.ndarray, b: np.ndarray, ranges: int) -> np.ndarray:
@@ -100,12 +99,12 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers, each after its size and width."""
-    return b"".join(y for x in arrays for y in (len(x).to_bytes(7, "little"), bytes([x.itemsize]), x.tobytes()))
+    """Arrays of unsigned numbers, each after its size and width, compressed."""
+    return zstandard.compress(b"".join(y for x in arrays for y in (len(x).to_bytes(7, "little"), bytes([x.itemsize]), x.tobytes())), 1)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, data = [], 0, zstandard.decompress(data)
     while at < len(data):
         n, width = int.from_bytes(data[at : at + 7], "little"), data[at + 7]
         out.append(np.frombuffer(data, f"<u{width}", n, at + 8))
@@ -121,13 +120,13 @@ def serialised(words: np.ndarray, pieces: np.ndarray, hashes: np.ndarray, ranges
     words, hashes, size = number[words], hashes[order], len(order)  # numbers follow the hashes from here on
     pair_at = np.flatnonzero(pieces[:-1] == pieces[1:])
     pairs, of, pair_n = np.unique(words[pair_at] * size + words[pair_at + 1], return_inverse=True, return_counts=True)
-    of_place = np.full(len(words), -1, np.int64)
-    of_place[pair_at] = of
-    three_at = np.flatnonzero((of_place[:-1] >= 0) & (of_place[1:] >= 0))
-    threes, three_n = np.unique(of_place[three_at] * size + words[three_at + 2], return_counts=True)
+    two = np.flatnonzero(np.diff(pair_at) == 1)  # pairs followed by one that starts a word later
+    threes, three_n = np.unique(of[two] * size + words[pair_at[two] + 2], return_counts=True)
+    del words, pair_at, of, two
     parent, last = threes // size, threes % size
     first, second = pairs // size, pairs % size
-    children = np.bincount(parent, minlength=len(pairs))
+    del threes, pairs
+    children = np.bincount(parent, minlength=len(first))
     where = _ranges(hashes[first], hashes[second], ranges)
     by, three_by = np.argsort(where, kind="stable"), np.argsort(where[parent], kind="stable")
     kinds = np.unique(where)
@@ -180,29 +179,61 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[by][fresh], of, np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(fresh))
 
 
-_TRIES = "part long, nodes binary, h long, lang string, word string, n long"
+def _texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _narrow(np.fromiter(map(len, texts), np.int64, len(texts))), np.frombuffer(b"".join(texts), np.uint8)
 
 
-def _trie_rows(ranges: int, seed: int, flush: int = FLUSH, bits: int = 64):
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    names = [x.split()[0] for x in _TRIES.split(", ")]
+def _cut(sizes: np.ndarray, data: np.ndarray) -> list[bytes]:
+    ends, whole = np.cumsum(sizes, dtype=np.int64).tolist(), data.tobytes()
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def listed(of: list[tuple[bytes, bytes]], hashes: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """A shard's words -> (range, hashes, counts and texts of its words)."""
+    where = (mix(hashes) % U(ranges)).astype(np.int64)
+    by = np.argsort(where, kind="stable")
+    kinds, first = np.unique(where[by], return_index=True)
+    for kind, own in zip(kinds.tolist(), np.split(by, first[1:]), strict=True):
+        langs, words = zip(*map(of.__getitem__, own.tolist()), strict=True)
+        yield kind, _pack(hashes[own], _narrow(counts[own]), *_texts(langs), *_texts(words))
+
+
+def told(pieces: list[bytes]) -> tuple[dict[int, list], bool]:
+    """Pieces of one range's words -> by hash [language, word, count], and whether two words share a hash."""
+    found: dict[int, list] = {}
+    clash = False
+    for piece in pieces:
+        hashes, counts, *texts = _unpack(piece)
+        for h, n, lang, word in zip(hashes.tolist(), counts.tolist(), _cut(*texts[:2]), _cut(*texts[2:]), strict=True):
+            if (held := found.get(h)) is None:
+                found[h] = [lang, word, n]
+            else:
+                held[2] += n
+                clash = clash or held[0] != lang or held[1] != word
+    return found, clash
+
 
+_TRIES = "part long, nodes binary, words binary"
+
+
+def _trie_rows(ranges: int, seed: int, flush: int = FLUSH, bits: int = 64):
     def flushed(shard: Shard) -> Iterator[pa.RecordBatch]:
         if not shard.held:
             return
-        langs, kinds, hashes = shard.vocabulary(seed, bits)
+        of, hashes = shard.vocabulary(seed, bits)
         words, pieces = np.concatenate(shard.words), np.concatenate(shard.pieces)
-        size, texts = len(kinds), [x.decode("utf-8", "surrogatepass") for x in kinds]
-        counts = np.bincount(words, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, types[0]), pa.nulls(size, types[1]), pa.array(hashes.view(np.int64)), pa.array(langs, types[3]), pa.array(texts, types[4]), pa.array(counts)], names=names)
+        shard.ids, shard.words, shard.pieces = {}, [], []
+        for part, known in listed(of, hashes, np.bincount(words, minlength=len(of)), ranges):
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.nulls(1, pa.binary()), pa.array([known])], names=["part", "nodes", "words"])
         for part, nodes in serialised(words, pieces, hashes, ranges):
-            yield pa.RecordBatch.from_arrays([pa.array([part], types[0]), pa.array([nodes], types[1]), *[pa.nulls(1, t) for t in types[2:]]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([nodes]), pa.nulls(1, pa.binary())], names=["part", "nodes", "words"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for data in _slices((text or "").encode("utf-8", "surrogatepass").translate(_SIMPLE)):
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang = lang.as_py()
+                for data in _slices((text.as_py() or "").encode("utf-8", "surrogatepass").translate(_SIMPLE)):
                     if shard.add(lang, data) and shard.held >= flush:
                         yield from flushed(shard)
                         shard = Shard()
@@ -215,27 +246,46 @@ def _trie_rows(ranges: int, seed: int, flush: int = FLUSH, bits: int = 64):
     return rows
 
 
-_NODES = "h1 long, h2 long, h3 long, three boolean, a long, left long, longer long"
+NODE, WORD, TOTAL, CLASH = range(4)
+#: Rows of four kinds: frequent nodes (h1 to longer), frequent words (h1, lang, word, a), words in all of a language (lang, a), and a sign that two words share a hash.
+_MERGED = "kind int, h1 long, h2 long, h3 long, three boolean, a long, left long, longer long, lang string, word string"
 
 
 def _merged_rows(least: int):
-    names = [x.split()[0] for x in _NODES.split(", ")]
-
-    def emit(pieces: list[bytes]) -> pa.RecordBatch:
-        columns = merged(pieces, least)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names=names)
+    shape = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[x.split()[1]]) for x in _MERGED.split(", ")])
+
+    def batch(kind: int, n: int, **columns) -> pa.RecordBatch:
+        arrays = {"kind": np.full(n, kind, np.int32)} | columns
+        return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], f.type) if f.name in arrays else pa.nulls(n, f.type) for f in shape], schema=shape)
+
+    def emit(nodes: list[bytes], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if nodes:
+            columns = merged(nodes, least)
+            yield batch(NODE, len(columns[0]), **{k: x.view(np.int64) if x.dtype == np.uint64 else x for k, x in zip(("h1", "h2", "h3", "three", "a", "left", "longer"), columns, strict=True)})
+        found, clash = told(words)
+        if clash:
+            yield batch(CLASH, 1)
+        totals: dict[bytes, int] = defaultdict(int)
+        for lang, _, n in found.values():
+            totals[lang] += n
+        text = lambda xs: [x.decode("utf-8", "surrogatepass") for x in xs]
+        yield batch(TOTAL, len(totals), lang=text(totals), a=list(totals.values()))
+        often = [(h, *x) for h, x in found.items() if x[2] >= least]
+        if often:
+            hashes, langs, kinds, counts = zip(*often, strict=True)
+            yield batch(WORD, len(often), h1=np.array(hashes, np.uint64).view(np.int64), lang=text(langs), word=text(kinds), a=counts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pieces = None, []
-        for batch in batches:
-            for at, nodes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if at != part and pieces:
-                    yield emit(pieces)
-                    pieces = []
+        part, nodes, words = None, [], []
+        for given in batches:
+            for at, node, word in zip(given.column(0).to_pylist(), given.column(1), given.column(2), strict=True):
+                if at != part and (nodes or words):
+                    yield from emit(nodes, words)
+                    nodes, words = [], []
                 part = at
-                pieces.append(nodes.as_py())
-        if pieces:
-            yield emit(pieces)
+                (nodes if node.is_valid else words).append((node if node.is_valid else word).as_py())
+        if nodes or words:
+            yield from emit(nodes, words)
 
     return rows
 
@@ -258,17 +308,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     ranges = max(RANGES, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
     for seed in itertools.count():
-        tries = scratch.save(f"tries{seed}", own.mapInArrow(_trie_rows(ranges, seed, flush, bits), _TRIES))
-        of = F.struct("lang", "word")
-        words = tries.where("part is null").groupBy("h").agg(F.sum("n").alias("f"), F.min(of).alias("of"), F.max(of).alias("other"))
-        words = scratch.save(f"words{seed}", words)
-        if words.where("of <> other").isEmpty():
+        pieces = own.mapInArrow(_trie_rows(ranges, seed, flush, bits), _TRIES).repartition(int(ranges), "part").sortWithinPartitions("part")
+        found = scratch.save(f"merged{seed}", pieces.mapInArrow(_merged_rows(least), _MERGED))
+        if found.where(F.col("kind") == CLASH).isEmpty():
             break
-        scratch.drop(f"tries{seed}", f"words{seed}")
-    words = words.select("h", "f", "of.lang", "of.word")
-    pieces = tries.where("part is not null").select("part", "nodes").repartition(int(ranges), "part").sortWithinPartitions("part")
-    nodes = scratch.save("nodes", pieces.mapInArrow(_merged_rows(least), _NODES))
-    scratch.drop(f"tries{seed}")
+        scratch.drop(f"merged{seed}")
+    nodes, often = found.where(F.col("kind") == NODE), found.where(F.col("kind") == WORD).select(F.col("h1").alias("h"), F.col("a").alias("f"), "lang", "word")
+    totals = found.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("a").alias("n"))
     two, three = nodes.where("not three"), nodes.where("three")
     # Suffix links: from three words to the last two.
     linked = scratch.save("linked", three.join(two.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("a").alias("right")), ["h2", "h3"]))
@@ -277,7 +323,6 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     two = two.join(ending, ["h1", "h2"], "left").where(~((held > 0) & (100 * held >= share * F.col("a"))))
     columns = ["h1", "h2", F.col("h3").alias("h_last"), "three", "a", "left", "right"]
     phrases = linked.select(*columns).union(two.select("h1", "h2", F.col("h2").alias("h_last"), "three", "a", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right")))
-    often = words.where(F.col("f") >= least)
     named = lambda key, name: often.select(F.col("h").alias(key), F.col("word").alias(f"word_{name}"), F.col("f").alias(f"f_{name}"))
     found = phrases.join(named("h1", "first").join(often.select(F.col("h").alias("h1"), "lang"), "h1"), "h1").join(named("h2", "middle"), "h2").join(named("h_last", "last"), "h_last")
     one, other = F.col("f_first"), F.col("f_last")
@@ -290,5 +335,4 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     dealt = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(DEALT)))
     few = dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("place") <= top)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
