@@ -6,11 +6,12 @@ A query visits, in each table, the PROBES perturbed buckets of least summed squa
 it would cross, which orders them by estimated success; the candidates of all tables are merged and ranked by their exact inner products.
 
 Queries meet all rows in blocks of fixed size: a task holds one block of rows with its tables and one block of queries, and the
-best of each block are merged by a window whose input is TOP rows a block. A block is dealt by hash of vec_id, so equal
+best of each block are merged by a window whose input is TOP rows a block. A block is dealt by hash of vec_id and vector, so equal
 vectors are spread, and a bucket that holds many of them is ranked whole: there is no cap.
 
 Cases: null, empty or zero vectors and those with a null, NaN or infinite component take no part; vectors meet only those of
-their own length; ties go to the smaller vec_id; rows with a query's vec_id are not its neighbours; null vec_ids take no part; fewer
+their own length; ties go to the smaller vec_id; of a repeated vec_id each row is a query with ranks of its own and a candidate of all others, the
+row itself alone left out (equal rows are searched for once); null vec_ids take no part; fewer
 candidates than TOP are all given that were visited, and where the visited ones are fewer than TOP the whole block is ranked; an
 empty table gives an empty result; further columns are ignored.
 """
@@ -23,6 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +107,10 @@ def nearest(vectors: DataFrame, query_every: int, top: int = TOP, tables: int =
     seen = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(squares).alias("m")).first()
     row_blocks, query_blocks = math.ceil(seen.n / ROWS_A_BLOCK) or 1, math.ceil(seen.q / QUERIES_A_BLOCK) or 1
     largest = math.sqrt(seen.m or 1.0)
-    dealt, every = F.xxhash64("vec_id"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt, every = F.xxhash64("vec_id", "v"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.withColumns({"size": F.size("v"), "row_block": F.pmod(dealt, F.lit(row_blocks)).cast("int")}).withColumn("query_block", every(query_blocks))
-    asked = rows.where(is_query).withColumns({"size": F.size("v"), "query_block": F.pmod(dealt, F.lit(query_blocks)).cast("int")}).withColumn("row_block", every(row_blocks))
+    # Equal query rows have equal neighbours: one of them is searched for, for all.
+    asked = rows.where(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumns({"size": F.size("v"), "query_block": F.pmod(dealt, F.lit(query_blocks)).cast("int")}).withColumn("row_block", every(row_blocks))
 
     def meet(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -115,16 +118,20 @@ def nearest(vectors: DataFrame, query_every: int, top: int = TOP, tables: int =
             ids, points = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy())
             found = Tables(_lifted(points, largest, False), tables, hashes, width)
             wanted = np.stack(queries["v"].to_numpy())
-            for key, query, lifted in zip(queries["vec_id"].to_numpy(), wanted, _lifted(wanted, largest, True), strict=True):
-                candidates = found.visit(lifted, probes)
-                candidates = candidates[ids[candidates] != key]
+            copies = queries["copies"].to_numpy()
+            for number, (key, query, lifted) in enumerate(zip(queries["vec_id"].to_numpy(), wanted, _lifted(wanted, largest, True), strict=True)):
+                candidates, itself = found.visit(lifted, probes), np.flatnonzero(ids == key)
+                itself = itself[(points[itself] == query).all(axis=1)][:1]  # the one row that asks
+                candidates = candidates[~np.isin(candidates, itself)]
                 if len(candidates) < top:
-                    candidates = np.flatnonzero(ids != key)
+                    candidates = np.delete(np.arange(len(ids)), itself)
                 near, score = best(ids, points, candidates, query, top)
-                out.append(pd.DataFrame({"query_id": key, "vec_id": near, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query_id": key, "variant": xxhash.xxh3_64_intdigest(query.tobytes()) - 2**63, "copies": copies[number], "vec_id": near, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({x: [] for x in ("query_id", "variant", "copies", "vec_id", "score")})
 
     blocks = ["size", "row_block", "query_block"]
-    met = data.groupBy(*blocks).cogroup(asked.groupBy(*blocks)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    met = data.groupBy(*blocks).cogroup(asked.groupBy(*blocks)).applyInPandas(meet, "query_id long, variant long, copies long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id"))
+    ranked = met.withColumn("rank", rank).where(F.col("rank") <= top)
+    each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@
 Tier one resolves a whole pre-token that is in the vocabulary through a minimal perfect hash, with the stored bytes
 compared. Tier two merges the rest: byte parts form a linked list, and a heap gives the adjacent pair
 of least rank, leftmost on ties, until no pair has a rank. In front of both tiers stands a memory of chunks of text already resolved
-in this worker, of fixed size, since words recur; a chunk is cut where a white-space character follows a visible one, which no
+in this worker, of bounded bytes, since words recur; a chunk is cut where a white-space character follows a visible one, which no
 pre-token crosses.
 
 Cases: null is the empty text, which has no ids; special tokens are ordinary text; texts of any length
@@ -18,7 +18,8 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 
 from canvass.llm.mph import MinimalPerfectHash
 
-#: Chunks in each of a memory's two generations (more are faster; some 0.2 kB each in every worker); chunks of texts that are looked up together; rows of a batch that goes back.
-REMEMBERED, TOGETHER, ROWS = 100_000, 50_000, 512
+#: Bytes of each of a memory's two generations in every worker (more is faster); chunks of texts that are looked up together; rows of a batch that goes back.
+REMEMBERED, TOGETHER, ROWS = 24 << 20, 50_000, 512
+#: Characters of a chunk beyond which it is not remembered, and bytes of an entry's place in a dictionary.
+LONG, PLACE = 64, 100
 # 0x1C to 0x1F are white space for Python alone.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
@@ -55,15 +58,25 @@ def chunks(text: str) -> list[str]:
 
 
 class Memory:
-    """Packed ids of chunks. A full generation becomes the old one, whose chunks are kept only if they are met again."""
+    """Packed ids of chunks, in two generations of ``size`` bytes at most beside what one group of texts adds.
+
+    A full generation becomes the old one, whose chunks are kept only if they are met again. Chunks of over LONG characters are
+    known for their group alone.
+    """
 
     def __init__(self, size: int = REMEMBERED):
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.young, self.old, self.held, self.counted = size, {}, {}, 0, 0
 
     def turn(self) -> None:
-        """Between two groups of texts."""
-        if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
+        """Between two groups of texts: counts and thins what the last one has added, which stands last."""
+        for chunk, ids in list(islice(reversed(self.young.items()), len(self.young) - self.counted)):
+            if len(chunk) > LONG:
+                del self.young[chunk]
+            else:
+                self.held += getsizeof(chunk) + getsizeof(ids) + PLACE
+        if self.held > self.size:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.counted = len(self.young)
 
     def unknown(self, kinds: Iterable[str]) -> list[str]:
         """The chunks to resolve; the others are in ``young`` afterwards."""

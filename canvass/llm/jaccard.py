@@ -9,7 +9,8 @@ A candidate pair is first tried on sketches: the counts of a set's elements in B
 of common elements, so that a pair whose sketches leave no room for the similarity is discarded and none is missed. The similarity of
 each pair that is left is computed from the whole sets before it links. In groups of over CROWD classes not all pairs are
 needed, as only components count: all meet the most central class, for as long as that links some; a group whose classes then are in one component is
-settled, and in the others each class outside the largest component meets all classes of the other components.
+settled, and in the others the classes outside the largest component meet those of the other components, as far as the smaller of two sets
+has the element within its first n - ceil(2 s n / (1 + s)) + 1, which the first one that two similar sets share always is.
 
 Cases: null and empty texts are one class; equal texts link; rows with a null doc_id keep a null component and link nothing; rows of one
 doc_id with different texts link by their texts alone; an empty table gives an empty result; further columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm.common import Scratch, broadcast_by_bytes, broadcast_if_small
 from canvass.llm.components import connected_components
-from canvass.llm.spans import SpanHasher, mix, word_bounds
+from canvass.llm.spans import mix, phrase_hashes
 
 SHINGLE, SIMILARITY, CROWD, ROUNDS, BROADCAST_ROWS = 5, 0.8, 32, 3, 500_000
 #: One text in SAMPLE is looked at for common elements; those in at least COMMON of them, COMMON_ROWS at most, come last.
@@ -43,9 +44,7 @@ def elements(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    size = min(shingle, len(words))
-    starts, ends = word_bounds(words)
-    return np.unique(SpanHasher(b" ".join(words))(starts[: len(words) - size + 1], ends[size - 1 :]))
+    return np.unique(phrase_hashes(words, min(shingle, len(words))))
 
 
 def signature(found: np.ndarray) -> int:
@@ -67,6 +66,11 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def index_size(n: int, similarity: float) -> int:
+    """How far into its prefix the first element can stand that a set shares with a similar one of its size or more."""
+    return n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1 if n else 0
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Elements common in the sample, sorted, and their counts."""
     sample = docs.select("text", F.xxhash64("text").alias("content")).where(F.pmod("content", F.lit(SAMPLE)) == 0).dropDuplicates(["content"])
@@ -98,10 +102,10 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     rank = np.where(hashes[at] == found, counts[at], 0)
                 first = found[np.lexsort((found, rank))[: prefix_size(len(found), similarity)]]
-                rows.append((doc_id, signature(found), len(found), first.view(np.int64), sketch(found)))
-            yield pd.DataFrame(rows, columns=["doc_id", "sig", "n", "prefix", "sketch"])
+                rows.append((doc_id, signature(found), len(found), index_size(len(found), similarity), first.view(np.int64), sketch(found)))
+            yield pd.DataFrame(rows, columns=["doc_id", "sig", "n", "early", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, sig long, n int, prefix array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, sig long, n int, early int, prefix array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -169,16 +173,24 @@ def _pairs(left: DataFrame, right: DataFrame, similarity: float, *apart) -> Data
     return met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
 
 
+def _early(a: str, b: str):
+    """Whichever of two members is not the larger set has the element early enough for it to be the first they share."""
+    return ((F.col(f"n_{a}") > F.col(f"n_{b}")) | F.col(f"early_{a}")) & ((F.col(f"n_{b}") > F.col(f"n_{a}")) | F.col(f"early_{b}"))
+
+
 def links(members: DataFrame, classes: Classes, scratch: Scratch, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """members (h, sig, n, k: elements in the prefix) -> links (a, b), enough to connect all similar pairs of a group."""
+    """members (h, sig, n, k: elements in the prefix, early: within index_size) -> links (a, b), enough to connect all similar pairs.
+
+    A similar pair meets in the group of the first element they share at the latest, where the smaller of the two is early.
+    """
     sizes = members.groupBy("h").agg(F.count("*").alias("members"))
     members = scratch.save("members", members.join(sizes, "h"))
-    few = members.where(F.col("members") <= crowd).select("h", "sig", "n")
-    found = classes.verified(scratch.save("pairs", _pairs(few, few, similarity, F.col("sig_a") < F.col("sig_b"))), similarity, "links")
+    few = members.where(F.col("members") <= crowd).select("h", "sig", "n", "early")
+    found = classes.verified(scratch.save("pairs", _pairs(few, few, similarity, F.col("sig_a") < F.col("sig_b"), _early("a", "b"))), similarity, "links")
     many = members.where(F.col("members") > crowd)
     # A class with few elements of its own has most of its prefix in crowded groups.
     central = many.groupBy("sig").agg((F.count("*") / F.first("k")).alias("central"))
-    many = scratch.save("many", many.join(central, "sig").select("h", "sig", "n", "central"))
+    many = scratch.save("many", many.join(central, "sig").select("h", "sig", "n", "early", "central"))
     if many.isEmpty():
         return found
     outside = many
@@ -195,7 +207,10 @@ def links(members: DataFrame, classes: Classes, scratch: Scratch, similarity: fl
         outside = scratch.save(f"outside{turn}", placed.join(largest, "h").where("component <> largest").drop("largest"))
         if fresh.isEmpty() or outside.groupBy("h").count().where(F.col("count") > crowd).isEmpty():
             break
-    rest = _pairs(outside.select("h", "sig", "n", "component"), placed.select("h", "sig", "n", "component"), similarity, F.col("component_a") != F.col("component_b"))
+    # Only early members look for larger sets, so that pages of one template, whose own words come first, don't all meet.
+    columns, apart = ["h", "sig", "n", "early", "component"], (F.col("component_a") != F.col("component_b"), F.col("n_a") <= F.col("n_b"), _early("a", "b"))
+    rest = _pairs(outside.where("early").select(columns), placed.select(columns), similarity, *apart)
+    rest = rest.union(_pairs(placed.where("early").select(columns), outside.select(columns), similarity, *apart)).distinct()
     return found.union(classes.verified(scratch.save("restpairs", rest), similarity, "rest"))
 
 
@@ -206,9 +221,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     known = own.where("doc_id is not null")
     prefixes = scratch.save("prefixes", _prefixes(known, shingle, similarity, _common(known, shingle)))
     rows = prefixes.select("doc_id", "sig")
-    placed = prefixes.select("sig", "n", F.size("prefix").alias("k"), F.explode("prefix").alias("h"))
+    placed = prefixes.select("sig", "n", F.size("prefix").alias("k"), "early", F.posexplode("prefix").alias("at", "h")).withColumn("early", F.col("at") < F.col("early")).drop("at")
     met = scratch.save("met", placed.groupBy("h").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("h"))
-    members = placed.join(broadcast_if_small(met, met.count(), BROADCAST_ROWS), "h").select("h", "sig", "n", "k").distinct()
+    members = placed.join(broadcast_if_small(met, met.count(), BROADCAST_ROWS), "h").select("h", "sig", "n", "k", "early").distinct()
     members = scratch.save("grouped", members)
     wanted = scratch.save("wanted", members.select("sig").distinct())
     n_wanted = wanted.count()

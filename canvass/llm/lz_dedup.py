@@ -7,7 +7,7 @@ indexed with the document and the place where it stands first. A document is the
 a phrase that the reference has and goes on as long as the next phrase stands at the next place of the same reference document. Phrases across a factor's
 boundary are looked up like any other, so neighbouring factors may overlap. Factors have WINDOW words or more by construction. The words of each factor are
 then compared, by SHA-256, with the words at its place in the reference document; those that agree become duplicate spans.
-The 64-bit hashes of phrases only find candidates: one that agrees by chance removes nothing.
+The 64-bit hashes of phrases only find candidates: one that agrees by chance removes nothing, and hides a repeat with a probability near 2**-64 a pair.
 
 A reference document that very many factors copy is read in several tasks, each for a bounded share of its distinct spans.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.common import Scratch
-from canvass.llm.spans import SpanHasher, anchors, pieces, signed, word_bounds
+from canvass.llm.spans import U, anchors, mix, phrase_hashes, pieces, signed
 
 WINDOW, GRAM = 13, 7
 #: Spans of one reference document that a task compares.
@@ -41,15 +41,21 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def phrases(words: list[bytes], window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first, hashes of the windows from that word on, their anchors' hashes), piece by piece."""
+    """(first, hashes of the grams from that word on, for each window the hash of its anchor), piece by piece."""
     for low, high in pieces(len(words), _PIECE, window - 1):
         part = words[low:high]
         if len(part) < window:
             continue
-        span, (starts, ends) = SpanHasher(b" ".join(part)), word_bounds(part)
-        grams = span(starts[: len(part) - gram + 1], ends[gram - 1 :])
-        whole = span(starts[: len(part) - window + 1], ends[window - 1 :])
-        yield low, whole, grams[anchors(grams, window - gram + 1)]
+        grams = phrase_hashes(part, gram)
+        yield low, grams, grams[anchors(grams, window - gram + 1)]
+
+
+def window_hashes(grams: np.ndarray, at: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Of the windows that start at some words, from those of the grams that cover them."""
+    out = np.full(len(at), window, np.uint64)
+    for k in [*range(0, window - gram, gram), window - gram]:
+        out = mix(out * U(0x9E3779B97F4A7C15) + grams[at + k])
+    return out
 
 
 def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
@@ -88,10 +94,10 @@ def _phrase_rows(window: int, gram: int):
             for key, text, shared in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 shared, words = shared.values.to_numpy().view(np.uint64), split_words(text)
                 base = row_base((text or "").encode("utf-8", "surrogatepass"))
-                for low, whole, anchor in phrases(words, window, gram):
+                for low, grams, anchor in phrases(words, window, gram):
                     at = np.flatnonzero(np.isin(anchor, shared))
                     ids.append(np.full(len(at), key, np.int64))
-                    found.append(whole[at])
+                    found.append(window_hashes(grams, at, window, gram))
                     places.append(at + (low + base))
             columns = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found, np.uint64), (ids, np.int64), (places, np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(signed(columns[0])), pa.array(columns[1]), pa.array(columns[2])], names=["phrase", "doc_id", "place"])

@@ -198,11 +198,12 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     terms = scratch.save("terms", _occurrences(found.dropDuplicates(["row"]), flagged))
     scratch.drop("found", "seen", "contexts", "hopeful", "candidates", "secrets", "flagged")
     names = [c for c in docs.columns if c not in ("base", "spans")]
-    terms = broadcast_by_bytes(terms.select(F.col("row").alias("__row"), F.col("terms").alias("__terms")))
+    terms = broadcast_by_bytes(terms.select("row", "terms"))
     # Base spans are found anew: that costs less than to carry them to the rows they belong to.
-    out = docs.withColumns({"__row": _row(F.col(key), held), "__base": base_spans(F.col(text))}).join(terms, "__row", "left")
-    base, extra = F.col("__base"), F.coalesce("__terms", F.array().cast(_SPANS))
-    return out.select(*[F.col(f"`{c}`") for c in names], base.alias("base"), F.array_sort(F.concat(base, extra)).alias("spans"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"), _row(F.col(key), held).alias("row"), base_spans(F.col(text)).alias("base"))
+    out = given.join(terms, "row", "left")
+    base, extra = F.col("base"), F.coalesce("terms", F.array().cast(_SPANS))
+    return out.select(*[F.col(f"given.`{c}`") for c in names], base.alias("base"), F.array_sort(F.concat(base, extra)).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:

@@ -1,13 +1,16 @@
-"""NumPy helpers: word bounds, hashes of byte spans, and winnowed anchors of fixed-length windows.
+"""NumPy helpers: word bounds, hashes of phrases and of byte spans, and winnowed anchors of fixed-length windows.
 
-A span's hash is a polynomial over a fixed random byte table modulo 2**64, so that any span of a text
-comes from two prefix sums; a multiply-xor step then spreads its bits. Equal spans have equal hashes;
-different ones agree by chance with a probability near 2**-64.
+A phrase's hash is a chain over the 64-bit hashes of its words, with a multiply-xor step after each, so that it depends on nothing but their sequence.
+
+A byte span's hash is a polynomial over a fixed random byte table modulo 2**64, so that any span of a text comes from two prefix sums. Equal spans
+have equal hashes, but there are different ones, as a Thue-Morse string and its complement, that always agree: it may choose anchors and
+group candidates, and decides nothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -34,6 +37,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+class _WordHashes(dict):
+    """Hashes of words; the first ones met are remembered."""
+
+    KEPT, LONG = 200_000, 32
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONG and len(self) < self.KEPT:
+            self[word] = value
+        return value
+
+
+_known = _WordHashes()
+
+
+def phrase_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Of each run of so many words, by its first word."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    each = mix(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = mix(out * U(_BASE) + each[k : k + n])
+    return out
+
+
 class SpanHasher:
     """Hashes of any spans [start, end) of one byte string."""
 
@@ -46,6 +76,10 @@ class SpanHasher:
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.powers[start] + (end - start).astype(np.uint64))
 
+    def grams(self, size: int) -> np.ndarray:
+        """Of the spans of so many bytes, by their start."""
+        return mix((self.prefix[size:] - self.prefix[:-size]) * self.powers[: len(self.prefix) - size] + U(size))
+
 
 def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words within b" ".join(words)."""

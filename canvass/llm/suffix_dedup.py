@@ -9,7 +9,7 @@ share (alone: none is a duplicate) and by the one they cover (repeated: all are)
 that neither settles go on, and each round reuses the rows that the one before left.
 
 Buckets are counted with map-side combining, so a passage in a third of all documents makes no large
-group. Strings are compared by 64-bit hashes.
+group. Anchors and buckets go by a fast hash that may collide, and only find candidates; strings count as equal by 64 bits of BLAKE2b.
 
 Cases: null and empty texts have no bytes; texts under WINDOW bytes keep all; rows of equal texts are
 duplicates of each other, whatever their doc_id, also where it is null or repeated; an empty table gives
@@ -37,24 +37,30 @@ def _encode(text: str | None) -> bytes:
 
 
 def stretches(data: bytes, window: int, gram: int):
-    """(hasher, base, anchor positions, first and last window start of each, anchor hashes), piece by piece."""
+    """(bytes, base, anchor positions, first and last window start of each, anchor hashes), piece by piece."""
     for low, high in pieces(len(data), PIECE, window - 1):
         if high - low < window:
             continue
-        span = SpanHasher(data[low:high])
-        n = high - low
-        starts = np.arange(n - gram + 1)
-        grams = span(starts, starts + gram)
+        part = data[low:high]
+        span = SpanHasher(part)
+        grams = span.grams(gram)
         at = anchors(grams, window - gram + 1)
         edge = np.flatnonzero(np.diff(at)) + 1
         first = np.concatenate([[0], edge])
         last = np.concatenate([edge, [len(at)]]) - 1
-        yield span, low, at[first], first, last, grams[at[first]]
+        yield part, low, at[first], first, last, grams[at[first]]
 
 
-def _stretch_hashes(span, at, first, last, window) -> np.ndarray:
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of each span: strings count as equal by these."""
+    blake = hashlib.blake2b
+    each = [blake(data[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(each), np.dtype("<u8")).astype(np.uint64)
+
+
+def _stretch_hashes(data, at, first, last, window) -> np.ndarray:
     """Of the bytes that each anchor's windows cover, with the anchor's place in them."""
-    return mix(span(first, last + window) + (at - first).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    return mix(_digests(data, first, last + window) + (at - first).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def _counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +92,9 @@ def _stretch_rows(window: int, gram: int):
             parts = []
             for row, text, shared in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 shared, own = shared.values.to_numpy().view(np.uint64), []
-                for span, _, at, first, last, bucket in stretches(_encode(text), window, gram):
+                for part, _, at, first, last, bucket in stretches(_encode(text), window, gram):
                     keep = np.isin(bucket, shared)
-                    own.append(np.stack([bucket[keep], _stretch_hashes(span, at[keep], first[keep], last[keep], window)]))
+                    own.append(np.stack([bucket[keep], _stretch_hashes(part, at[keep], first[keep], last[keep], window)]))
                 pair, count = np.unique(np.concatenate(own, axis=1), axis=1, return_counts=True)
                 parts.append((pair[0], pair[1], np.full(len(count), row, np.int64), count))
             if parts:
@@ -106,8 +112,8 @@ def _context_rows(window: int, gram: int):
             out = ([], [], [])
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data, wanted = _encode(text), wanted.values.to_numpy().view(np.uint64)
-                for span, low, at, first, last, _ in stretches(data, window, gram):
-                    hashes = _stretch_hashes(span, at, first, last, window)
+                for part, low, at, first, last, _ in stretches(data, window, gram):
+                    hashes = _stretch_hashes(part, at, first, last, window)
                     _, once = np.unique(hashes, return_index=True)
                     once = once[np.isin(hashes[once], wanted)]
                     out[0].extend(signed(hashes[once]).tolist())
@@ -133,11 +139,11 @@ def _refined_rows(window: int, block: int):
                 most = min(high, place)
                 if least > most:
                     continue
-                span, lows = SpanHasher(data), np.arange(least // block * block, most + 1, block)
+                lows = np.arange(least // block * block, most + 1, block)
                 lo, hi = np.maximum(lows, least), np.minimum(lows + block - 1, most)
                 # The core holds for the block as a whole, so that stretches which cover different parts of it compare.
-                core = mix(span(place - lows, np.maximum(place - lows, place - lows - block + 1 + window)) + lows.astype(np.uint64))
-                full = mix(span(place - hi, place - lo + window) + (lo * 512 + hi).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+                core = mix(_digests(data, place - lows, np.maximum(place - lows, place - lows - block + 1 + window)) + lows.astype(np.uint64))
+                full = mix(_digests(data, place - hi, place - lo + window) + (lo * 512 + hi).astype(np.uint64) * U(0x9E3779B97F4A7C15))
                 for values, x in zip(out, (np.full(len(lo), stretch), np.full(len(lo), n), lo, hi, signed(core), signed(full)), strict=True):
                     values.append(x.astype(np.int64))
             arrays = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
@@ -178,8 +184,8 @@ def _outcome(window: int, gram: int, with_text: bool):
                     known, low, high = (found.values.field(i).to_numpy() for i in range(3))
                     order = np.argsort(known.view(np.uint64), kind="stable")
                     known, low, high = known.view(np.uint64)[order], low[order], high[order]
-                    for span, base, at, first, last, _ in stretches(data, window, gram):
-                        hashes = _stretch_hashes(span, at, first, last, window)
+                    for part, base, at, first, last, _ in stretches(data, window, gram):
+                        hashes = _stretch_hashes(part, at, first, last, window)
                         a, b = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
                         which = np.repeat(np.arange(len(at)), b - a)
                         entry = np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]

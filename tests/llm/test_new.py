@@ -255,3 +255,110 @@ def test_scores_past_64_bits(spark):
     rows = [(10**12, 2 * 10**12, 3 * 10**12), (10, 10, 10), (7, 11, 13), (10**13 - 1, 10**13, 10**13)]
     df = spark.createDataFrame(rows, "a long, l long, r long")
     assert [r[0] for r in df.select(collocations._score(F.col("a"), F.col("l"), F.col("r"))).collect()] == [10**6 * a * a // (left * right) for a, left, right in rows]
+
+
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, c, "x"), (None, c, "x"), (4, None, "x"), (5, "", "x"), (None, near, "x"), (None, "alone " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("row", F.lit(7)).withColumn("first", F.lit(1))
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (2, b), (3, c), (4, None), (None, "alone " * 9)])
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_pages_of_one_template_do_not_all_meet(spark, monkeypatch):
+    from canvass.llm import jaccard
+    from canvass.llm.common import Scratch
+
+    frame = " ".join(f"frame{k}" for k in range(200))
+    pages = [(k, f"{frame} " + " ".join(f"own{k}-{j}" for j in range(45))) for k in range(900)]
+    pages += [(1000 + k, pages[k][1] + " end") for k in range(0, 900, 100)]
+    written, save = {}, Scratch.save
+
+    def counted(self, name, df):
+        out = save(self, name, df)
+        if name.endswith("pairs"):
+            written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(pages, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k, _ in pages} | {1000 + k: k for k in range(0, 900, 100)}
+    assert sum(written.values()) < 20 * len(pages)
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_strings_that_a_polynomial_cannot_tell_apart(spark):
+    from canvass.llm import jaccard, lz_dedup, suffix_dedup
+
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    words = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{words} {one}"), (2, f"{words} {other}"), (3, f"{words} {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lz_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    assert not set(jaccard.elements(f"a b c d {one}").tolist()) & set(jaccard.elements(f"a b c d {other}").tolist())
+    texts = {1: one + "x" * 10, 2: other, 3: "y" * 50}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.byte_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    seen = Counter(t[k : k + 200] for t in texts.values() for k in range(len(t) - 199))
+    gone = {i: len({j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(k, k + 200)}) for i, t in texts.items()}
+    assert got == gone
+
+
+def test_nearest_of_repeated_rows(spark):
+    from canvass.llm import ann
+
+    draw = np.random.default_rng(7)
+    rows = [(k, draw.normal(size=8).tolist()) for k in range(120)]
+    rows += [(20, rows[20][1]), (20, rows[20][1]), (20, rows[3][1]), (5, rows[5][1]), (40, [0.5] * 8)]
+    got = Counter(map(tuple, ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, top=10, probes=243, width=50.0).collect()))
+    expected = Counter()
+    for at, (key, query) in enumerate(rows):
+        if key % 20 == 0:
+            near = sorted((-float((np.array(v) * np.array(query)).sum()), i) for other, (i, v) in enumerate(rows) if other != at)[:10]
+            expected.update((key, k + 1, i, -s) for k, (s, i) in enumerate(near))
+    assert Counter((q, k, i, round(s, 9)) for q, k, i, s in got.elements()) == Counter((q, k, i, round(s, 9)) for q, k, i, s in expected.elements())
+
+
+def test_recall_on_embeddings(spark):
+    from canvass.llm import ann
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.nearest(vectors, 100).toPandas()
+    rows = vectors.toPandas()
+    points = np.stack(rows.embedding.to_numpy()).astype(float)
+    hit = total = 0
+    for at in np.flatnonzero(rows.vec_id % 100 == 0):
+        scores = points @ points[at]
+        scores[at] = -np.inf
+        best = set(rows.vec_id[np.lexsort((rows.vec_id, -scores))[:20]])
+        hit += len(best & set(got.vec_id[got.query_id == rows.vec_id[at]]))
+        total += len(best)
+    assert hit / total >= 0.9
+
+
+def test_memory_is_bounded_by_bytes():
+    from canvass.llm import bpe
+
+    memory = bpe.Memory(20_000)
+    for k in range(200):
+        memory.turn()
+        new = memory.unknown([f"w{k}-{j}" for j in range(20)] + ["long" * 100])
+        memory.young.update((x, b"12") for x in new)
+        assert "long" * 100 not in memory.old
+        assert sum(len(x) + 100 for part in (memory.young, memory.old) for x in part) < 60_000
+    assert memory.unknown(["w199-3"]) == [] and memory.unknown(["w0-0"]) == ["w0-0"]
+
+
+def test_personal_data_keeps_columns_of_any_name(spark):
+    from canvass.llm import pii
+
+    docs = spark.createDataFrame([(1, "mail a@b.cd now", 5, 6, 7, 8)], "doc_id long, text string, __row int, row int, given int, terms int")
+    got = pii.personal_data(docs)
+    assert got.columns == [*docs.columns, "base", "spans"] and tuple(got.first())[:6] == (1, "mail a@b.cd now", 5, 6, 7, 8)
