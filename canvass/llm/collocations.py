@@ -32,7 +32,7 @@ from canvass.llm.spans import U, mix
 
 LEAST, SHARE, TOP, UNKNOWN = 10, 50, 2000, "und"
 #: Words of a shard's trie; bytes of text for each range, and least ranges; bytes of one text that are split at a time.
-FLUSH, RANGE_BYTES, RANGES, SLICE = 1 << 20, 32 << 20, 32, 1 << 20
+FLUSH, RANGE_BYTES, RANGES, SLICE = 1 << 20, 12 << 20, 32, 1 << 20
 #: Parts of a language's phrases that are ranked on their own first.
 DEALT = 32
 #: A-Z to lower case, piece ends (. , ; : ! ? and 0x0A to 0x0D) to a line feed, tab to a space.
@@ -151,9 +151,13 @@ def merged(pieces: list[bytes], least: int) -> list[np.ndarray]:
     keys = np.concatenate([c[x[1]] * size + c[x[2]] for c, x in zip(own, parts, strict=True)])
     # Keys are sorted within each piece, which a stable sort merges.
     pairs, of, pair_n = _summed(keys, np.concatenate([x[3] for x in parts]))
-    parent = np.repeat(of, np.concatenate([x[4] for x in parts]).astype(np.int64))
-    keys = parent * size + np.concatenate([c[x[5]] for c, x in zip(own, parts, strict=True)])
-    threes, _, three_n = _summed(keys, np.concatenate([x[6] for x in parts]))
+    keys = np.repeat(of, np.concatenate([x[4] for x in parts]).astype(np.int64))
+    keys *= size
+    keys += np.concatenate([c[x[5]] for c, x in zip(own, parts, strict=True)])
+    counts = np.concatenate([x[6] for x in parts])
+    del parts, own, codes, of
+    threes, _, three_n = _summed(keys, counts)
+    del keys, counts
     often = three_n >= least
     threes, three_n = threes[often], three_n[often]
     parent, last = threes // size, threes % size
