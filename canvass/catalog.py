@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from canvass.functions.columns import numeric_columns, round_even
 from canvass.functions.student import Z
 from canvass.operators import charts, clean, estimate, pivot, profile, schema
 from canvass.plans import narrative, report
+from canvass.scratch import Scratch
 from canvass.sources import readers, registry, sinks, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,7 +589,7 @@ def records_response(spark, sf_dir):
 )
 def quantiles_by_brackets(spark, sf_dir):
     """Quartiles by narrowed brackets, as for tables too large for one percentile aggregate."""
-    found = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_discount"], [0.25, 0.75], direct_rows=100)
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_discount"], [0.25, 0.75], interval_rows=100)
     return rounded(spark.createDataFrame([(c, *map(float, x)) for c, x in found.items()], "column string, q1 double, q3 double"), "q1", "q3", digits=6)
 
 
@@ -612,6 +612,68 @@ def synth_survey(spark, sf_dir):
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
 def csv_roundtrip(spark, sf_dir):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/region_csv"
-    sinks.write_csv(table(spark, sf_dir, "region").coalesce(1), path, "overwrite")
+    path = Scratch(spark, "region").path("csv")
+    sinks.write_csv(table(spark, sf_dir, "region").coalesce(1), path)
     return readers.read_csv(spark, path)
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, md5(text) AS text, source, n_chars FROM documents WHERE trim(text) <> ''")
+def csv_line_ends(spark, sf_dir):
+    """Whole texts, with the line ends and quotes in them, from CSV files that are read in splits of 64 kB."""
+    path = Scratch(spark, "documents").path("csv")
+    df = table(spark, sf_dir, "documents").where("trim(text) <> ''").select("doc_id", "lang", "text", "source", "n_chars")
+    sinks.write_csv(df, path, quoteAll=True)
+    return readers.read_csv(spark, path, split_bytes=1 << 16).withColumn("text", F.md5("text"))
+
+
+@query(
+    """WITH rows AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row, event_type, CAST(floor(value) AS BIGINT) AS v FROM events)
+    SELECT row, event_type, v FROM rows QUALIFY count(*) OVER (PARTITION BY event_type, v) > 1"""
+)
+def profile_duplicate_row_labels(spark, sf_dir):
+    """Rows that repeat, by their number in the file, which the reader gives: the table has no key."""
+    path = Scratch(spark, "events").path("csv")
+    sinks.write_csv(_pairs(spark, sf_dir).orderBy("event_id").drop("event_id").coalesce(1), path)
+    return profile.duplicate_row_members(readers.read_csv(spark, path, row_label="row", split_bytes=1 << 15), "row")
+
+
+@query("SELECT event_id AS row, event_id, event_type FROM events WHERE event_id % 100 = 7")
+def parquet_row_labels(spark, sf_dir):
+    """The rows' places in a Parquet file; event_id counts them as well."""
+    return readers.read_parquet(spark, f"{sf_dir}/events.parquet", row_label="row").where("event_id % 100 = 7").select("row", "event_id", "event_type")
+
+
+MOSTLY = "mostly AS (SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'rest' ELSE 'most' END AS part, CASE WHEN event_id % 20 <> 0 THEN CAST(floor(value) AS BIGINT) END AS v FROM events)"
+
+
+def _mostly(spark, sf_dir):
+    """events with nine rows of ten in one group."""
+    key, value = F.when(F.col("event_id") % 10 == 3, "rest").otherwise("most"), F.when(F.col("event_id") % 20 != 0, F.floor("value").cast("long"))
+    return table(spark, sf_dir, "events").select("event_id", key.alias("part"), value.alias("v"))
+
+
+@query(f"WITH {MOSTLY} SELECT event_id, CASE WHEN v IS NOT NULL THEN CAST(sum(v) OVER (PARTITION BY part ORDER BY event_id) AS BIGINT) END AS v FROM mostly")
+def pivot_cumsum_one_key(spark, sf_dir):
+    return pivot.group_transform(_mostly(spark, sf_dir), ["part"], "v", "cumsum", "event_id", rows_a_range=100)
+
+
+@query(f"WITH {MOSTLY} SELECT event_id, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY part ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY part, v) - 1) / 2.0 END AS v FROM mostly")
+def pivot_rank_one_key(spark, sf_dir):
+    return pivot.group_transform(_mostly(spark, sf_dir), ["part"], "v", "rank", "event_id", rows_a_range=10)
+
+
+PRICES = "prices AS (SELECT CASE WHEN l_orderkey % 10 = 3 THEN 'rest' ELSE 'most' END AS part, l_extendedprice AS price, l_quantity FROM lineitem)"
+
+
+@query(
+    f"""WITH {PRICES} SELECT part, CAST(count(price) AS BIGINT) AS price_count, round_even(avg(price), 4) AS price_mean, round_even(stddev_samp(price), 4) AS price_std, min(price) AS price_min,
+    round_even(quantile_cont(price, 0.25), 4) AS "price_25%", round_even(quantile_cont(price, 0.5), 4) AS "price_50%", round_even(quantile_cont(price, 0.75), 4) AS "price_75%", max(price) AS price_max,
+    round_even(quantile_cont(l_quantity, 0.5), 4) AS l_quantity_median FROM prices GROUP BY part"""
+)
+def pivot_describe_one_key(spark, sf_dir):
+    """Quantiles of groups too large to be sorted, by narrowed intervals; l_quantity has many equal values."""
+    part = F.when(F.col("l_orderkey") % 10 == 3, "rest").otherwise("most")
+    df = table(spark, sf_dir, "lineitem").select(part.alias("part"), F.col("l_extendedprice").alias("price"), "l_quantity")
+    told = pivot.pivot(df, "part", ["price"], ["describe"], interval_rows=200)
+    told = told.join(pivot.pivot(df, "part", ["l_quantity"], ["median"], interval_rows=200), "part")
+    return rounded(told, *[c for c in told.columns if c not in ("part", "price_count", "price_min", "price_max")])

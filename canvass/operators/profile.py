@@ -34,14 +34,23 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
 
 
 def duplicate_row_members(df: DataFrame, row_id: str) -> DataFrame:
-    """The rows that equal another one in all columns but row_id."""
-    by = [c for c in df.columns if c != row_id]
-    repeated = df.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("__n")).where("__n > 1").alias("r")
-    own = df.alias("d")
-    same = F.lit(True)
+    """The rows that equal another one in all columns but row_id, which a reader's row_label may be.
+
+    Rows are compared whole only where their hashes repeat.
+    """
+    by = [f"c{i}" for i in range(len(df.columns) - 1)]
+    rest = [c for c in df.columns if c != row_id]
+    own = df.select(col(row_id).alias("row"), *[col(c).alias(n) for c, n in zip(rest, by, strict=True)])
+    own = own.withColumn("hash", F.xxhash64(*by))
+    hashes = own.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    likely = own.join(hashes, "hash", "left_semi")
+    repeated = likely.groupBy("hash", *by).agg(F.count("*").alias("n")).where("n > 1")
+    same = F.col("d.hash") == F.col("r.hash")
     for c in by:
-        same = same & F.col(f"d.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
-    return own.join(repeated, same, "left_semi")
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}"))
+    found = likely.alias("d").join(repeated.alias("r"), same, "left_semi")
+    names = dict(zip(rest, by, strict=True)) | {row_id: "row"}
+    return found.select(*[F.col(names[c]).alias(c) for c in df.columns])
 
 
 def duplicate_columns(df: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import re
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.columns import col, nan_to_null
+from canvass.scratch import Scratch, broadcast_by_bytes
+from canvass.sources.records import numbered, records
 
 #: Cell texts that mean a missing value.
 NA_TOKENS = (
@@ -25,16 +27,48 @@ def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, row_label: str | None = None, split_bytes: int | None = None) -> DataFrame:
     """First row as header; types are inferred from all rows in one aggregate. A column without values is double.
 
-    Files are read in splits unless cells hold line ends: multi_line says so, None looks.
+    Files are read in splits, also where cells hold line ends (multi_line says so, None looks): see ``records``. Only files with stray quotes
+    are read whole, by one task each. row_label: name of a column with each row's number from 0 in file order, to be added.
     """
     multi_line = has_quoted_line_ends(spark, path) if multi_line is None else multi_line
-    text = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue=None)
+    if not multi_line and row_label is None:
+        return infer_types(spark.read.csv(path, header=True, inferSchema=False, escape='"', nullValue=None))
+    whole = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue=None)
+    names = [*whole.columns[:-1], whole.columns[-1].removesuffix("\r")]
+    if row_label in names:
+        raise ValueError(f"the file has a column {row_label}")
+    scratch = Scratch(spark, "csv")
+    found, sound = records(spark, path, scratch, split_bytes)
+    if not sound:
+        if row_label is not None:
+            raise ValueError("rows of a file with stray quotes can't be numbered")
+        return infer_types(whole.toDF(*names))
+    rows = numbered(found, "row")
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"escape": '"'})
+    table = scratch.save("table", rows.select("row", cells.alias("cells")))
+    scratch.drop("states", "pieces")
+    text = table.select(*[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(names)], *([F.col("row").cast("string").alias(row_label)] if row_label else []))
     return infer_types(text)
 
 
+def read_parquet(spark: SparkSession, path: str, row_label: str | None = None) -> DataFrame:
+    """NaN becomes NULL. row_label: as for ``read_csv``; files follow each other by path."""
+    df = spark.read.parquet(path)
+    if row_label is None:
+        return nan_to_null(df)
+    if row_label in df.columns:
+        raise ValueError(f"the file has a column {row_label}")
+    own = df.select(F.struct(*[col(c) for c in df.columns]).alias("own"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    counts = own.groupBy("file").agg(F.count("*").alias("n"))  # a row for each file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = own.join(broadcast_by_bytes(offsets), "file").withColumn("row", F.col("offset") + F.col("at"))
+    return nan_to_null(placed.select("own.*", F.col("row").alias(row_label)))
+
+
 def infer_types(text: DataFrame) -> DataFrame:
     """Table of strings -> long, double, boolean or string columns, by what all present cells can be."""
     cells = text.select(*[F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in text.columns])
@@ -70,7 +104,7 @@ def _with_pandas(reader: str, library: str, **options):
 #: Office and statistics files are small by their formats' limits and are read on the driver.
 READERS = {
     ".csv": read_csv,
-    ".parquet": lambda spark, path: nan_to_null(spark.read.parquet(path)),
+    ".parquet": read_parquet,
     ".xls": _with_pandas("read_excel", "xlrd"),
     ".xlsx": _with_pandas("read_excel", "openpyxl"),
     ".sav": _with_pandas("read_spss", "pyreadstat"),

@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).csv(path, header=True)
+def write_csv(df: DataFrame, path: str, mode: str = "error", **options) -> None:
+    """With a header; quotes in cells are doubled and white space is kept. options: further ones of Spark's CSV writer."""
+    df.write.mode(mode).options(**{"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} | options).csv(path, header=True)
 
 
 #: Most rows of a response.

@@ -45,7 +45,7 @@ def test_interpolated_quartiles_both_ways(spark):
     many = [draw.choice([draw.gauss(0, 1), 1.0]) for _ in range(60_000)]
     df = spark.createDataFrame(pd.DataFrame({"v": many}))
     expected = np.quantile(many, [0.25, 0.5, 0.9]).tolist()
-    assert exact_quantiles(df, ["v"], [0.25, 0.5, 0.9], direct_rows=10)["v"] == pytest.approx(expected, abs=1e-12)
+    assert exact_quantiles(df, ["v"], [0.25, 0.5, 0.9], interval_rows=10)["v"] == pytest.approx(expected, abs=1e-12)
 
 
 def test_pivot_nulls(spark):
