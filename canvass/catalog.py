@@ -239,6 +239,9 @@ def rules_mandatory(spark, sf_dir):
     return clean.apply_rules(planted(spark, sf_dir), clean.Rules.of({"mandatory": ["value", "event_type", "absent"]}))[0]
 
 
+FROM_5_TO_100 = clean.Rules((clean.Range("value", 5, 100),))
+
+
 @query(
     f"""WITH {PLANTED}, filled AS (SELECT event_id, coalesce(value, (SELECT avg(value) FROM planted)) AS value FROM planted),
     inside AS (SELECT * FROM filled WHERE {_band('value', 'filled')} AND {_band('event_id', 'filled')})
@@ -246,7 +249,21 @@ def rules_mandatory(spark, sf_dir):
 )
 def clean_pipeline(spark, sf_dir):
     df = planted(spark, sf_dir).select("event_id", "value")
-    return rounded(clean.clean(df, "mean", True, clean.Rules((clean.Range("value", 5, 100),)))[0], "value", digits=6)
+    return rounded(clean.clean(df, "mean", True, FROM_5_TO_100, clean.Observed())[0], "value", digits=6)
+
+
+@query(
+    f"""WITH {PLANTED}, filled AS (SELECT event_id, coalesce(value, (SELECT avg(value) FROM planted)) AS value FROM planted),
+    inside AS (SELECT * FROM filled WHERE {_band('value', 'filled')} AND {_band('event_id', 'filled')}),
+    found(step, "column", n) AS (
+        SELECT 'impute mean', 'value', (SELECT count(*) FROM planted WHERE value IS NULL) UNION ALL SELECT 'outliers', 'all', (SELECT count(*) FROM filled) - (SELECT count(*) FROM inside)
+        UNION ALL SELECT 'rules', '0: range value', (SELECT count(*) FROM inside WHERE NOT value BETWEEN 5 AND 100))
+    SELECT step, "column", CAST(n AS BIGINT) AS found, CAST(n AS BIGINT) AS changed FROM found WHERE n > 0"""
+)
+def clean_pipeline_counts(spark, sf_dir):
+    """What the steps change, counted by the job that writes the cleaned table."""
+    path = Scratch(spark, "cleaned").path("table")
+    return changes(spark, clean.clean_to(planted(spark, sf_dir).select("event_id", "value"), path, "mean", True, FROM_5_TO_100))
 
 
 def _grouped(select: str, keys: str = "l_returnflag", source: str = "lineitem") -> str:
@@ -458,6 +475,16 @@ def weighted_estimate_by_group(spark, sf_dir):
     return estimate.weighted_estimates_by(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
 
 
+HIGH = "high AS (SELECT l_returnflag, l_quantity, 1e9 + l_discount * 100 AS price FROM lineitem)"
+
+
+@query(f"WITH {HIGH} " + _estimate_sql("price", source="high"))
+def weighted_estimate_far_from_zero(spark, sf_dir):
+    """A mean of a thousand million with a spread of a few: plain sums of squares would lose it."""
+    high = table(spark, sf_dir, "lineitem").select("l_quantity", (F.lit(1e9) + F.col("l_discount") * 100).alias("price"))
+    return estimate.weighted_estimates(high, ["price"], "l_quantity")
+
+
 @query(
     f"""SELECT "column", round_even(std_error / mean * 100, 1) AS cv, CASE WHEN std_error / mean * 100 < 5 THEN 'high' WHEN std_error / mean * 100 < 15 THEN 'moderate' ELSE 'low' END AS reliability
     FROM ({_estimate_sql('l_extendedprice')} UNION ALL {_estimate_sql('l_tax')})"""

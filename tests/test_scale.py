@@ -137,3 +137,85 @@ def test_duplicate_members_by_label(spark):
     df = spark.createDataFrame(rows, "row long, hash string, `a.b` double")
     assert sorted(r.row for r in profile.duplicate_row_members(df, "row").collect()) == [0, 2, 4, 5]
     assert profile.duplicate_row_members(df, "row").columns == df.columns
+
+
+def jobs_of(spark, run) -> int:
+    """Spark jobs that a call starts."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_counts_come_with_the_cleaned_table(spark, tmp_path):
+    from canvass.operators import clean
+
+    df = spark.createDataFrame([(i, float(i) if i % 7 else None, 10_000.0 if i % 50 == 1 else float(i % 5)) for i in range(400)], "i long, a double, b double")
+    rules = clean.Rules((clean.Range("a", 20, 380), clean.Range("b", 1, None)), ("a",))
+    for method in (None, "drop", "mean", "median", "mode"):
+        plain, expected = clean.clean(df, method, True, rules)
+        path = str(tmp_path / str(method))
+        assert clean.clean_to(df, path, method, True, rules) == expected and len(expected) >= 2
+        assert sorted(spark.read.parquet(path).collect()) == sorted(plain.collect())
+    fewer = jobs_of(spark, lambda: clean.clean_to(df, str(tmp_path / "again"), "mean", True, rules))
+    more = jobs_of(spark, lambda: clean.clean(df, "mean", True, rules)[0].write.parquet(str(tmp_path / "more")))
+    assert fewer < more
+
+
+def test_modes_of_all_columns_in_one_pass(spark):
+    from canvass.operators import clean
+
+    df = spark.createDataFrame([(3, "b", None), (1, "a", None), (3, "a", None), (1, "b", None), (2, None, None)], "v int, `s.t` string, n double")
+    assert clean.column_modes(df, ["v", "s.t", "n"]) == {"v": 1, "s.t": "a", "n": None}
+    assert clean.column_modes(df.where("false"), ["v"]) == {"v": None} and clean.column_modes(df, []) == {}
+
+
+def by_hand(frame: pd.DataFrame, digits=4) -> tuple:
+    x, w = frame.x.to_numpy(), frame.w.to_numpy()
+    mean = np.average(x - x[0], weights=w) + x[0]
+    size = w.sum() ** 2 / (w**2).sum()
+    variance = (w * (x - mean) ** 2).sum() / w.sum() * len(x) / (len(x) - 1)
+    return mean, np.sqrt(variance / size), size
+
+
+def test_estimates_far_from_zero(spark):
+    from canvass.operators import estimate
+
+    draw = np.random.default_rng(8)
+    frame = pd.DataFrame({"g": draw.integers(0, 4, 4000), "w": draw.uniform(0.5, 2, 4000)})
+    frame["x"] = np.array([0.0, 1e9, -1e9, 5.0])[frame.g] + draw.normal(size=4000) * np.array([1.0, 1.0, 0.01, 0.0])[frame.g]
+    frame["y"] = 1e9 + draw.normal(size=4000)
+    frame.loc[0, "y"] = 1e12  # the first rows need not be near the others
+    df = spark.createDataFrame(frame).withColumn("mean_", F.lit(1))
+    got = {r.g: r for r in estimate.weighted_estimates_by(df, ["g"], "x", "w").collect()}
+    for g, part in frame.groupby("g"):
+        mean, error, size = by_hand(part)
+        assert got[g].mean == pytest.approx(mean, abs=1e-3) and got[g].std_error == pytest.approx(error, abs=6e-5) and got[g].n_effective == pytest.approx(size, abs=0.006)
+    y = by_hand(frame.assign(x=frame.y))
+    one = estimate.weighted_estimates(df, ["y", "x"], "w").collect()
+    assert one[0].std_error == pytest.approx(y[1], rel=1e-6) and one[1].mean == pytest.approx(by_hand(frame)[0], rel=1e-9)
+    named = df.withColumnsRenamed({"g": "n", "mean_": "sw"})
+    assert estimate.weighted_estimates_by(named, ["n", "sw"], "x", "w").count() == 4
+    with pytest.raises(ValueError, match="names of results"):
+        estimate.weighted_estimates_by(df.withColumnRenamed("g", "mean"), ["mean"], "x", "w")
+
+
+def test_estimates_take_one_pass(spark):
+    from canvass.operators import estimate
+
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 8000, 1, 16).selectExpr("cast(id % 9 as double) x", "1.0D + id % 3 w", "id % 2 g").mapInArrow(watched, "x double, w double, g long")
+    assert len(estimate.weighted_estimates(df, ["x"], "w").collect()) == 1 and 8000 <= read.value < 12_000
+    before = read.value
+    assert estimate.weighted_estimates_by(df, ["g"], "x", "w").count() == 2 and read.value - before < 12_000
