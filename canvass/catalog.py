@@ -621,20 +621,21 @@ def quantiles_by_brackets(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS respondents, true AS ages, true AS some_bad_ages, true AS some_missing, true AS some_high, true AS households, true AS weights"""
+    """SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT c_custkey) AS BIGINT) AS respondents, true AS ages, true AS some_bad_ages, true AS some_missing, true AS households, true AS weights FROM customer"""
 )
 def synth_survey_invariants(spark, sf_dir):
-    age, income = F.col("Q1_Age_Years"), F.col("Income")
-    return synth.survey(spark).agg(
-        F.count("*").alias("n"), F.count_distinct("Respondent_ID").alias("respondents"), F.bool_and((age == -5) | age.between(18, 79)).alias("ages"),
-        F.count_if(age == -5).between(1, 30).alias("some_bad_ages"), F.count_if(income.isNull()).between(20, 90).alias("some_missing"), F.count_if(income > 200_000).between(1, 20).alias("some_high"),
+    age, income, n = F.col("Q1_Age_Years"), F.col("Income"), F.count("*")
+    return synth_survey(spark, sf_dir).agg(
+        n.alias("n"), F.count_distinct("Respondent_ID").alias("respondents"), F.bool_and((age == -5) | age.between(18, 79)).alias("ages"),
+        (F.count_if(age == -5) / n).between(0.001, 0.03).alias("some_bad_ages"), (F.count_if(income.isNull()) / n).between(0.02, 0.09).alias("some_missing"),
         F.bool_and(F.col("Household_Size").between(1, 5)).alias("households"), F.bool_and((F.col("Survey_Weight") >= 0.8) & (F.col("Survey_Weight") < 1.5)).alias("weights"),
     )
 
 
 @query()
 def synth_survey(spark, sf_dir):
-    return synth.survey(spark)
+    """A survey of all customers."""
+    return synth.survey(table(spark, sf_dir, "customer"), "c_custkey")
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
@@ -704,3 +705,93 @@ def pivot_describe_one_key(spark, sf_dir):
     told = pivot.pivot(df, "part", ["price"], ["describe"], interval_rows=200)
     told = told.join(pivot.pivot(df, "part", ["l_quantity"], ["median"], interval_rows=200), "part")
     return rounded(told, *[c for c in told.columns if c not in ("part", "price_count", "price_min", "price_max")])
+
+
+@query("SELECT CAST(1 AS BIGINT) AS version, CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region UNION ALL SELECT 2, n_nationkey, n_name FROM nation")
+def registry_reopened(spark, sf_dir):
+    """Both versions of a table that was put twice, read from another session; a plan made before the second stays with the first."""
+    root = Scratch(spark, "registry").root
+    tables = registry.StoredRegistry(spark, root)
+    tables.put("survey file.csv", table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as long) key", "r_name name"))
+    before = tables.get("survey file.csv").withColumn("version", F.lit(1).cast("long"))
+    tables.put("survey file.csv", table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as long) key", "n_name name"), "mapped", after=1)
+    again = registry.StoredRegistry(spark.newSession(), root)
+    latest = spark.read.parquet(*again.get("survey file.csv").inputFiles()).withColumn("version", F.lit(again.versions["survey file.csv"]).cast("long"))
+    return before.unionByName(latest).select("version", "key", "name")
+
+
+@query(
+    """SELECT 'events' AS name, CAST(1 AS BIGINT) AS version, CAST(count(*) AS BIGINT) AS rows, 'events version 1: loaded' AS message FROM events
+    UNION ALL SELECT 'events', 2, count(*), 'events version 2: cleaned' FROM events WHERE value >= 5 UNION ALL SELECT NULL, NULL, NULL, 'done'"""
+)
+def registry_stored_log(spark, sf_dir):
+    """The log of a registry, whose row counts come from the jobs that write the tables."""
+    tables = registry.StoredRegistry(spark, Scratch(spark, "registry").root)
+    tables.put("events", table(spark, sf_dir, "events"))
+    tables.put("events", clean.apply_rules(tables.get("events"), clean.Rules((clean.Range("value", 5),)), clean.Observed())[0], "cleaned")
+    tables.note("done")
+    return tables.log().drop("at")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""(SELECT '{c}' AS "column", CAST({c} AS DOUBLE) AS value FROM {{t}} WHERE NOT ({_band(c, '{t}')}) ORDER BY md5('7|{c}|' || event_id) LIMIT 50)""".replace("{t}", "wide") for c in ("value", "squared")
+    ).join(("WITH wide AS (SELECT event_id, value, value * value AS squared FROM events) SELECT * FROM (", ")"))
+)
+def chart_outlier_points(spark, sf_dir):
+    """Of each column the 50 values outside its fences with the least hashes, in one job."""
+    wide = table(spark, sf_dir, "events").select("event_id", "value", (F.col("value") * F.col("value")).alias("squared"))
+    return charts.outlier_points(wide, ["value", "squared"], by=["event_id"], most=50, seed=7)
+
+
+def _wide_column(i: int) -> str:
+    """An expression of both engines: column i equals column i % 37, but for some that differ in one row."""
+    plain = f"c_acctbal * {i % 37}" if i % 37 < 30 else f"c_acctbal + {i % 37}"
+    return f"CASE WHEN c_custkey = 7 THEN -1.5 ELSE {plain} END" if i % 50 == 49 else plain
+
+
+WIDE = 200
+
+
+@query(
+    "WITH wide AS (SELECT c_custkey, " + ", ".join(f"CAST({_wide_column(i)} AS DOUBLE) AS x{i}" for i in range(WIDE)) + " FROM customer), "
+    "cells AS (UNPIVOT wide ON COLUMNS(* EXCLUDE c_custkey) INTO NAME name VALUE v), held AS (SELECT name, list(v ORDER BY c_custkey) AS vs FROM cells GROUP BY name) "
+    "SELECT a.name || ' == ' || b.name AS pair FROM held a JOIN held b ON a.vs = b.vs AND CAST(substr(a.name, 2) AS INT) < CAST(substr(b.name, 2) AS INT)"
+)
+def profile_duplicate_columns_wide(spark, sf_dir):
+    """200 columns in classes of some five."""
+    columns = [F.expr(_wide_column(i)).cast("double").alias(f"x{i}") for i in range(WIDE)]
+    return profile.duplicate_columns(table(spark, sf_dir, "customer").select(*columns))
+
+
+@query(
+    """WITH b AS (SELECT min(p_size) AS lo, max(p_size) AS hi, count(p_size) AS n, quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25) AS iqr FROM part),
+    k AS (SELECT *, CAST(ceil((hi - lo) / greatest(1, least(greatest(2 * iqr * pow(n, -1.0 / 3), (hi - lo) / (2 * sqrt(n))), (hi - lo) / (log2(n) + 1)))) AS INT) AS bins FROM b),
+    w AS (SELECT *, (hi - lo) / bins AS width FROM k),
+    c AS (SELECT least(CAST(floor((p_size - lo) / width) AS INT), bins - 1) + 1 AS bin, count(*) AS n FROM part, w GROUP BY ALL)
+    SELECT CAST(k AS INT) AS bin, round_even(lo + (k - 1) * width, 6) AS low, round_even(lo + k * width, 6) AS high, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+    FROM (SELECT w.*, unnest(range(1, bins + 1)) AS k FROM w) LEFT JOIN c ON c.bin = k"""
+)
+def chart_histogram_whole(spark, sf_dir):
+    """Automatic bins of whole numbers are at least one wide."""
+    return rounded(charts.histogram(table(spark, sf_dir, "part"), "p_size"), "low", "high", digits=6)
+
+
+@query(
+    f"""WITH b AS ({_box_sql('l_extendedprice')} UNION ALL {_box_sql('l_tax')}), h AS (SELECT count(l_extendedprice) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
+    SELECT 'box' AS part, "column" AS name, round_even(q1, 4) AS low, round_even(q3, 4) AS high, outliers AS n FROM b
+    UNION ALL SELECT 'histogram', 'l_extendedprice', round_even(lo, 4), round_even(hi, 4), CAST(n AS BIGINT) FROM h
+    UNION ALL SELECT 'points', "column", NULL, NULL, least(outliers, 200) FROM b WHERE outliers > 0
+    UNION ALL SELECT 'summary', 'lineitem', NULL, NULL, CAST(2 AS BIGINT)"""
+)
+def report_visuals(spark, sf_dir):
+    """What one call gives for the charts of a report: histogram, box statistics, outlier points and summary."""
+    tables = registry.Registry()
+    tables.put("lineitem", table(spark, sf_dir, "lineitem"))
+    found = report.visuals(report.analyse(tables, "lineitem", ["l_extendedprice", "l_tax"], "l_quantity"))
+    told = len(re.findall("the weighted mean is", found["summary"]))
+    rows = rounded(found["box"].selectExpr("'box' part", "column name", "q1 low", "q3 high", "outliers n"), "low", "high")
+    bins = found["histogram"].agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("count").alias("n"))
+    rows = rows.unionByName(rounded(bins.selectExpr("'histogram' part", "'l_extendedprice' name", "low", "high", "n"), "low", "high"))
+    rows = rows.unionByName(found["points"].groupBy("column").agg(F.count("*").alias("n")).selectExpr("'points' part", "column name", "cast(null as double) low", "cast(null as double) high", "n"))
+    return rows.unionByName(spark.createDataFrame([("summary", "lineitem", None, None, told)], rows.schema))

@@ -6,7 +6,7 @@ import base64
 import io
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,10 +90,30 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outliers long")
 
 
-def outlier_sample(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
-    """Some values outside the fences, for the points of a box plot."""
-    low, high = fences(df, [column])[column]
-    return df.where(~col(column).between(low, high)).select(col(column).alias("value")).limit(limit) if low is not None else df.select(col(column).alias("value")).limit(0)
+#: Most points of a column beside its box.
+POINTS = 200
+
+
+def outlier_points(df: DataFrame, columns: list[str], by: list[str] | None = None, most: int = POINTS, seed: int = 0) -> DataFrame:
+    """(column, value): values outside the fences, at most so many of each column, those of the least hashes.
+
+    The hash is of the seed, the column and the row's cells in ``by`` (all if None), so that each outlier is as likely as any other to be among
+    them, and the same ones are whenever the table is the same. All columns come from one job; each task keeps its own least ones, so few rows are shuffled.
+    """
+    names = [c for c in columns if c in numeric_columns(df)]
+    shape = "column string, value double"
+    bounds = {c: x for c, x in fences(df, names).items() if x[0] is not None} if names else {}
+    if not bounds:
+        return df.sparkSession.createDataFrame([], shape)
+    cells = [F.coalesce(col(c).cast("string"), F.lit("")) for c in (df.columns if by is None else by)]
+    found = []
+    for c, (low, high) in bounds.items():
+        outside = F.coalesce(~col(c).between(low, high), F.lit(False))
+        point = F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(c), *cells)).alias("hash"))
+        found.append(F.when(outside, F.array(point)).otherwise(F.array().cast("array<struct<column:string,value:double,hash:string>>")))
+    points = df.select(F.inline(F.concat(*found)))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("hash", "value"))
+    return points.withColumn("place", place).where(F.col("place") <= most).select("column", "value")
 
 
 def png_base64(draw) -> str | None:
@@ -123,7 +143,10 @@ def draw_histogram(bins: DataFrame, density_line: DataFrame | None = None):
     return draw
 
 
-def draw_boxes(boxes: DataFrame):
-    """For png_base64: a box for each row of box statistics."""
-    stats = [{"label": r["column"], "q1": r["q1"], "med": r["median"], "q3": r["q3"], "whislo": r["whisker_low"], "whishi": r["whisker_high"], "fliers": []} for r in boxes.collect()]
-    return lambda axes: axes.bxp(stats, showfliers=False)
+def draw_boxes(boxes: DataFrame, points: DataFrame | None = None):
+    """For png_base64: a box for each row of box statistics, with the outlier points given for its column."""
+    held: dict[str, list[float]] = {}
+    for r in points.collect() if points is not None else ():  # at most POINTS a column
+        held.setdefault(r["column"], []).append(r["value"])
+    stats = [{"label": r["column"], "q1": r["q1"], "med": r["median"], "q3": r["q3"], "whislo": r["whisker_low"], "whishi": r["whisker_high"], "fliers": held.get(r["column"], [])} for r in boxes.collect()]
+    return lambda axes: axes.bxp(stats, showfliers=bool(held))

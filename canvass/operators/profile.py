@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from canvass.functions.columns import col, numeric_columns
 
-#: Wider tables are pruned by a fingerprint of each column before columns are compared.
-PAIRWISE_COLUMNS = 40
+#: Pairs of columns of one type that are compared as they are; where there are more, a fingerprint of each column comes first.
+PAIRS = 40
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -53,21 +53,51 @@ def duplicate_row_members(df: DataFrame, row_id: str) -> DataFrame:
     return found.select(*[F.col(names[c]).alias(c) for c in df.columns])
 
 
+def _equal(df: DataFrame, pairs: list[tuple[str, str]]) -> list[bool]:
+    """Whether the columns of each pair are equal in all rows, from one aggregate."""
+    return list(df.agg(*[F.coalesce(F.bool_and(col(a).eqNullSafe(col(b))), F.lit(True)) for a, b in pairs]).first()) if pairs else []
+
+
+def column_classes(df: DataFrame) -> list[list[str]]:
+    """Columns of one type and equal content together, in the order of the table, also those alone.
+
+    Columns are put together by a fingerprint of their cells with their rows, and each is then compared with the first of its class alone; those
+    that differ from it, for all that their fingerprints agree, are tried among themselves. So comparisons are as many as columns.
+    """
+    if not df.columns:
+        return []
+    kinds = {f.name: f.dataType.json() for f in df.schema}
+    # What ties a cell to its row is a hash of the whole row: equal columns agree in it whatever their place.
+    row = F.xxhash64(*[col(c) for c in df.columns])
+    prints = df.select(row.alias("row"), F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("cells"))
+    found = prints.agg(*[F.bit_xor(F.xxhash64("row", f"cells.c{i}")) for i in range(len(df.columns))]).first()
+    waiting = [list(g) for g in _grouped([(kinds[c], p, c) for c, p in zip(df.columns, found, strict=True)])]
+    classes = []
+    while waiting:
+        tests = [(g[0], c) for g in waiting for c in g[1:]]
+        same = dict(zip(tests, _equal(df, tests), strict=True))
+        classes += [[g[0], *[c for c in g[1:] if same[g[0], c]]] for g in waiting]
+        waiting = [rest for g in waiting if (rest := [c for c in g[1:] if not same[g[0], c]])]
+    return sorted(classes, key=lambda g: df.columns.index(g[0]))
+
+
+def _grouped(rows: list[tuple]) -> list[list[str]]:
+    groups: dict[tuple, list[str]] = {}
+    for *key, name in rows:
+        groups.setdefault(tuple(key), []).append(name)
+    return list(groups.values())
+
+
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """(pair) "a == b" for each pair of one type and equal content; all pairs of one type in an empty table."""
     kinds = {f.name: f.dataType for f in df.schema}
     pairs = [(a, b) for a, b in itertools.combinations(df.columns, 2) if kinds[a] == kinds[b]]
-    if len(df.columns) > PAIRWISE_COLUMNS and pairs:
-        # A row's place in the fingerprint is the hash of the other columns' row, so that equal columns agree.
-        whole = F.xxhash64(*[col(c) for c in df.columns])
-        prints = df.agg(*[F.bit_xor(F.xxhash64(whole, col(c))) for c in df.columns]).first()
-        of = dict(zip(df.columns, prints, strict=True))
-        pairs = [(a, b) for a, b in pairs if of[a] == of[b]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "pair string")
-    tests = df.agg(*[F.coalesce(F.bool_and(col(a).eqNullSafe(col(b))), F.lit(True)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(f"{a} == {b}").alias("pair"), F.col(f"p{i}").alias("equal")) for i, (a, b) in enumerate(pairs)])
-    return tests.select(F.inline(rows)).where("equal").select("pair")
+    if len(pairs) <= PAIRS:
+        equal = [x for x, same in zip(pairs, _equal(df, pairs), strict=True) if same]
+    else:
+        place = {c: i for i, c in enumerate(df.columns)}
+        equal = sorted(((a, b) for g in column_classes(df) for a, b in itertools.combinations(g, 2)), key=lambda x: (place[x[0]], place[x[1]]))
+    return df.sparkSession.createDataFrame([(f"{a} == {b}",) for a, b in equal], "pair string")
 
 
 def shape(df: DataFrame) -> DataFrame:

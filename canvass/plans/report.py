@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from canvass.operators import charts
 from canvass.operators.estimate import weighted_estimates
 from canvass.plans.narrative import summary
-from canvass.sources.registry import Registry
+from canvass.sources.registry import Registry, StoredRegistry
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class Analysis:
     estimates: DataFrame
 
 
-def analyse(registry: Registry, name: str, targets: list[str], weight: str, population: float | None = None) -> Analysis:
+def analyse(registry: Registry | StoredRegistry, name: str, targets: list[str], weight: str, population: float | None = None) -> Analysis:
     table = registry.get(name)
     if table is None:
         raise KeyError(f"no table {name}")
@@ -37,8 +37,12 @@ def analyse(registry: Registry, name: str, targets: list[str], weight: str, popu
 
 
 def visuals(analysis: Analysis) -> dict[str, DataFrame | str | None]:
-    """Histogram of the first target, box statistics of the numeric ones and the text summary."""
-    return {"histogram": charts.histogram(analysis.table, analysis.targets[0]), "box": charts.box_stats(analysis.table, list(analysis.targets)), "summary": summary(analysis.estimates, analysis.name)}
+    """Histogram of the first target, box statistics of the numeric ones with points outside their fences, and the text summary."""
+    targets = list(analysis.targets)
+    return {
+        "histogram": charts.histogram(analysis.table, targets[0]), "box": charts.box_stats(analysis.table, targets), "points": charts.outlier_points(analysis.table, targets),
+        "summary": summary(analysis.estimates, analysis.name),
+    }
 
 
 def pictures(analysis: Analysis) -> dict[str, str | None]:
@@ -50,7 +54,7 @@ def pictures(analysis: Analysis) -> dict[str, str | None]:
     boxes = charts.box_stats(table, list(analysis.targets))
     return {
         "histogram": charts.png_base64(charts.draw_histogram(bins, charts.density(table, target, scale=scale))) if held else None,
-        "box plot": charts.png_base64(charts.draw_boxes(boxes)) if boxes is not None else None,
+        "box plot": charts.png_base64(charts.draw_boxes(boxes, charts.outlier_points(table, list(analysis.targets)))) if boxes is not None else None,
     }
 
 

@@ -178,7 +178,7 @@ def test_constant_and_empty_charts(spark):
 
 def test_storyline(spark, tmp_path):
     registry = Registry()
-    registry.put("s.csv", synth.survey(spark).cache())
+    registry.put("s.csv", synth.survey(spark.range(1000), "id").cache())
     registry.put("s.csv", schema.rename(registry.get("s.csv"), {"Q1_Age_Years": "Age"}), "mapped")
     cleaned, changes = clean.clean(registry.get("s.csv"), "mean", True, clean.DEFAULT_RULES)
     registry.put("s.csv", cleaned, "cleaned")

@@ -219,3 +219,61 @@ def test_estimates_take_one_pass(spark):
     assert len(estimate.weighted_estimates(df, ["x"], "w").collect()) == 1 and 8000 <= read.value < 12_000
     before = read.value
     assert estimate.weighted_estimates_by(df, ["g"], "x", "w").count() == 2 and read.value - before < 12_000
+
+
+def test_registry_that_outlives_the_session(spark, tmp_path):
+    from canvass.sources.registry import Conflict, StoredRegistry
+
+    root = str(tmp_path / "tables")
+    first = StoredRegistry(spark, root)
+    assert first.names() == [] and first.get("a b/ü.csv") is None and first.log().count() == 0
+    assert first.put("a b/ü.csv", spark.range(3)) == 1 and first.put("other", spark.range(1)) == 1
+    held = first.get("a b/ü.csv")
+    second = StoredRegistry(spark.newSession(), root)
+    assert second.put("a b/ü.csv", second.spark.range(5).selectExpr("id", "id * 2 twice"), "mapped", after=1) == 2
+    assert held.count() == 3 and first.get("a b/ü.csv").columns == ["id", "twice"] and first.get("a b/ü.csv", 1).count() == 3 and first.get("a b/ü.csv", 9) is None
+    assert dict(first.versions) == {"a b/ü.csv": 2, "other": 1} and second.history("a b/ü.csv") == [1, 2]
+    with pytest.raises(Conflict):
+        first.put("a b/ü.csv", spark.range(1), after=1)
+    (tmp_path / "tables/tables/other/2.json").write_text("{}")  # another session commits first
+    listed = first.history
+    first.history = lambda name: [x for x in listed(name) if name != "other" or x < 2]
+    with pytest.raises(Conflict, match="another session"):
+        first.put("other", spark.range(1))
+    assert [(r.name, r.version, r.rows) for r in second.log().orderBy("at").collect()] == [("a b/ü.csv", 1, 3), ("other", 1, 1), ("a b/ü.csv", 2, 5)]
+    with pytest.raises(ValueError):
+        first.put("", spark.range(1))
+
+
+def test_outlier_points_are_a_fair_sample(spark):
+    from canvass.operators import charts
+
+    rows = [(i, float(i % 10), float(i) if i % 4 == 0 else 0.0, None, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, near double, far double, none double, text string").repartition(7)
+    got = charts.outlier_points(df, ["near", "far", "none", "text"], ["id"], most=50)
+    values = sorted(r.value for r in got.where("column = 'far'").collect())
+    assert got.select("column").distinct().count() == 1 and len(values) == 50
+    assert values == sorted(r.value for r in charts.outlier_points(df.repartition(3), ["far"], ["id"], most=50).collect())
+    assert values != sorted(r.value for r in charts.outlier_points(df, ["far"], ["id"], most=50, seed=1).collect())
+    means = [np.mean([r.value for r in charts.outlier_points(df, ["far"], ["id"], most=100, seed=s).collect()]) for s in range(8)]
+    assert abs(np.mean(means) - 1000) < 150  # of all places alike
+    assert charts.outlier_points(df, ["far"]).count() == 200 and charts.outlier_points(df, ["text"]).count() == 0 and charts.outlier_points(df.where("false"), ["far"]).count() == 0
+    twice = df.union(df)
+    assert charts.outlier_points(twice, ["far"], ["id"], most=2000).count() == 998
+
+
+def test_classes_of_many_columns(spark):
+    data = {f"a{i}": [i % 3, None, 5] for i in range(30)} | {f"b{i}": [float(i % 2), None, 5.0] for i in range(12)} | {"lone": ["x", None, "y"]}
+    kinds = {"a": "int", "b": "double", "l": "string"}
+    df = spark.createDataFrame(list(zip(*data.values(), strict=True)), ", ".join(f"{c} {kinds[c[0]]}" for c in data))
+    classes = profile.column_classes(df)
+    assert [len(c) for c in classes] == [10, 10, 10, 6, 6, 1] and sum(classes, []) != list(df.columns)
+    pairs = [r.pair for r in profile.duplicate_columns(df).collect()]
+    assert len(pairs) == 3 * 45 + 2 * 15 and pairs[0] == "a0 == a3" and "b0 == b2" in pairs
+    assert profile.duplicate_columns(df.where("false")).count() == 30 * 29 // 2 + 12 * 11 // 2
+
+
+def test_classes_when_fingerprints_agree_by_chance(spark, monkeypatch):
+    monkeypatch.setattr(profile.F, "bit_xor", lambda x: F.max(F.lit(1)))
+    df = spark.createDataFrame([(1, 1, 2, 2, 1), (3, 3, 4, 5, 3)], "a int, b int, c int, d int, e int")
+    assert profile.column_classes(df) == [["a", "b", "e"], ["c"], ["d"]]
