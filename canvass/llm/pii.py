@@ -10,7 +10,8 @@ and is the less the fewer texts back it. Terms that disclose at least DISCLOSURE
 they are in the entity's context. Sanitising replaces base spans by their kind in angle brackets (generalised) and terms by "<term>".
 
 Distinct texts are counted, so copies of one document are one observation. All counts are exact and cover all rows. The texts with a term in a
-context are a lower bound of n_t; terms that cannot reach DISCLOSURE with it are left out before all texts are searched for the rest.
+context are a lower bound of n_t; terms that cannot reach DISCLOSURE with it are left out. n_t itself is counted for all terms there are, each
+task for its texts first, so that what is shuffled is vocabularies and not the corpus.
 
 Cases: null and empty texts have no spans; equal rows each have their spans; rows are told apart by key and text, so that a null or
 repeated doc_id is like any other; an empty table gives an empty result; further columns are ignored. No pattern recurses or goes back over a
@@ -159,9 +160,12 @@ def revealing_terms(contexts: DataFrame, docs: DataFrame, scratch: Scratch, prio
 
     hopeful = scratch.save("hopeful", disclosing(together.join(entities, "entity").join(at_least, "term")).drop("n_t"))
     candidates = scratch.save("candidates", hopeful.select("term").distinct())
-    words = F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")
-    everywhere = docs.select("content", words).select("content", _term(F.col("word")).alias("term")).join(broadcast_by_bytes(candidates), "term")
-    terms = everywhere.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    # Every text counts its own terms, which sums up before any shuffle; the copies of a text, which all hold its terms, count as one.
+    copies = scratch.save("copies", docs.groupBy("content").agg(F.count("*").alias("copies")).where("copies > 1"))
+    held = docs.join(broadcast_by_bytes(copies), "content", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    words = F.array_distinct(F.transform(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), _term))
+    counted = held.select("copies", F.explode(words).alias("term")).groupBy("term", "copies").agg(F.count("*").alias("n"))
+    terms = counted.join(candidates, "term").groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t"))
     return disclosing(hopeful.join(terms, "term")).select("entity", "term")
 
 
@@ -196,7 +200,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     flagged = contexts.join(broadcast_by_bytes(secrets), ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))
     flagged = scratch.save("flagged", flagged)
     terms = scratch.save("terms", _occurrences(found.dropDuplicates(["row"]), flagged))
-    scratch.drop("found", "seen", "contexts", "hopeful", "candidates", "secrets", "flagged")
+    scratch.drop("found", "seen", "contexts", "hopeful", "candidates", "copies", "secrets", "flagged")
     names = [c for c in docs.columns if c not in ("base", "spans")]
     terms = broadcast_by_bytes(terms.select("row", "terms"))
     # Base spans are found anew: that costs less than to carry them to the rows they belong to.
