@@ -8,11 +8,11 @@ positions are joined with those of all training positions. Each hit fixes an ali
 around the hit: a document is contaminated if, in some WINDOW aligned tokens (all of a shorter
 item), at least SIMILARITY of the tokens are equal.
 
-Seeds of the benchmark are broadcast where the counted number of their places is within BROADCAST_ROWS; else Spark shuffles both sides.
-Documents are cut into overlapping parts of PART tokens, so memory does not follow the longest text.
+All places of all documents are tested against a set of bits of the benchmark's seeds, of bounded size; those few that may have one are joined with the
+seeds, which are broadcast where their bytes are few. Documents are cut into overlapping parts of PART tokens, so memory does not follow the longest text.
 
-Items of fewer than SPAN tokens have no room for a mask. A hash of the whole item is joined with the hashes of all runs of as many
-tokens in the documents; of 5 tokens or more, further hashes each leave out one position, as a substitution in 5 to 9 tokens, or two, as in
+Items of fewer than SPAN tokens have no room for a mask. Their seed is a hash of the whole item, looked up for all runs of as many
+tokens in the documents, in the same pass; of 5 tokens or more, further hashes each leave out one position, as a substitution in 5 to 9 tokens, or two, as in
 10 and 11, keeps SIMILARITY. Runs of scripts without spaces between words are cut into single characters, each a token.
 
 Cases: null and empty texts, and items without tokens, match nothing; equal items each count; equal documents
@@ -22,18 +22,18 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import Scratch, broadcast_if_small
+from canvass.llm.common import Scratch, broadcast_by_bytes
 
 SPAN, WINDOW, SIMILARITY = 12, 16, 0.8
 #: Kept positions of each mask within SPAN tokens.
 MASKS = tuple(tuple(sorted(a + b)) for a, b in itertools.combinations(((0, 10, 11), (1, 4, 8), (2, 7, 9), (3, 5, 6)), 2))
-PART, BROADCAST_ROWS = 4096, 1_000_000
+#: Tokens of a document's parts; most longs of the seeds' bits, as a power of two (8 MB).
+PART, MOST_WORDS = 4096, 20
 
 
 #: Scripts without spaces between words.
@@ -56,75 +56,68 @@ def hashed_tokens(text: Column) -> Column:
     return F.transform(tokens(text), lambda x: F.xxhash64(x))
 
 
-def _positions(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, t: token hashes) -> (key, pos, seed0, seed1, ...), a row for each place where SPAN tokens start."""
-    starts = F.sequence(F.lit(0), F.size("t") - SPAN, F.lit(PART))
-    parts = rows.where(F.size("t") >= SPAN).select(key, F.explode(F.transform(starts, lambda s: F.struct(s.alias("base"), F.slice("t", s + 1, F.lit(PART + SPAN - 1)).alias("part")))).alias("p"))
-    parts = parts.select(key, "p.base", "p.part")
-    used = sorted({i for mask in MASKS for i in mask})
-    count = F.size("part") - (SPAN - 1)
-    shifted = F.arrays_zip(*[F.slice("part", F.lit(i + 1), count).alias(f"t{i}") for i in used])
-    spread = parts.select(key, "base", F.posexplode(shifted).alias("at", "w"))
-    seeds = [F.xxhash64(F.lit(n), *[F.col(f"w.t{i}") for i in mask]).alias(f"seed{n}") for n, mask in enumerate(MASKS)]
-    return spread.select(key, (F.col("base") + F.col("at")).alias("pos"), *seeds)
-
-
 def left_out(size: int, similarity: float = SIMILARITY) -> list[tuple[int, ...]]:
     """The choices of positions that may differ in an item of so many tokens: all that similarity allows at once."""
     allowed = next(k for k in range(size, -1, -1) if (size - k) / size >= similarity)
     return list(itertools.combinations(range(size), allowed))
 
 
-def _whole_hashes(window: Column, size: int, similarity: float) -> Column:
-    """window: array of size token hashes -> array of a hash for each choice of positions left out."""
-    return F.array(*[F.xxhash64(F.lit(size), F.lit(n), *[F.get(window, F.lit(i)) for i in range(size) if i not in gone]) for n, gone in enumerate(left_out(size, similarity))])
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, t: token hashes) -> (key, of: tokens in all, pos, w: the SPAN tokens from there on as t0, t1, ..., NULL beyond the end)."""
+    starts = F.sequence(F.lit(0), F.size("t") - 1, F.lit(PART))
+    parts = rows.where(F.size("t") > 0).select(key, F.size("t").alias("of"), F.explode(F.transform(starts, lambda s: F.struct(s.alias("base"), F.slice("t", s + 1, F.lit(PART + SPAN - 1)).alias("part")))).alias("p"))
+    parts = parts.select(key, "of", "p.base", "p.part", F.least(F.lit(PART), F.col("of") - F.col("p.base")).alias("count"))
+    shifted = F.arrays_zip(*[F.slice("part", F.lit(i + 1), F.col("count")).alias(f"t{i}") for i in range(SPAN)])
+    return parts.select(key, "of", "base", F.posexplode(shifted).alias("at", "w")).select(key, "of", (F.col("base") + F.col("at")).alias("pos"), "w")
 
 
-def _short(docs: DataFrame, items: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """docs (doc_id, t), items (item_id, t) of fewer than SPAN tokens -> (doc_id, item_id, similarity)."""
-    sizes = sorted(r.size for r in items.select(F.size("t").alias("size")).distinct().collect())
-    out = None
+def _keys(sizes: list[int], similarity: float) -> list[tuple[int, int, Column]]:
+    """(tokens needed, kind, hash of a place's tokens) of each mask and, for short items of each size, of each choice of positions left out."""
+    token = lambda i: F.col(f"w.t{i}")
+    out = [(SPAN, n, F.xxhash64(F.lit(n), *[token(i) for i in mask])) for n, mask in enumerate(MASKS)]
     for size in sizes:
-        own = items.where(F.size("t") == size).select("item_id", F.col("t").alias("b"), F.explode(_whole_hashes(F.col("t"), size, similarity)).alias("seed"))
-        own = scratch.save(f"short{size}", own)
-        starts = F.sequence(F.lit(0), F.size("t") - size, F.lit(PART))
-        parts = docs.where(F.size("t") >= size).select("doc_id", F.explode(F.transform(starts, lambda s: F.slice("t", s + 1, F.lit(PART + size - 1)))).alias("part"))
-        count = F.size("part") - (size - 1)
-        windows = parts.select("doc_id", F.explode(F.arrays_zip(*[F.slice("part", F.lit(i + 1), count).alias(f"t{i}") for i in range(size)])).alias("w"))
-        windows = windows.select("doc_id", F.array(*[F.col(f"w.t{i}") for i in range(size)]).alias("w"))
-        found = windows.select("doc_id", "w", F.explode(_whole_hashes(F.col("w"), size, similarity)).alias("seed"))
-        hits = found.join(broadcast_if_small(own, own.count(), BROADCAST_ROWS), "seed")
-        same = F.aggregate(F.zip_with("w", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-        hits = hits.select("doc_id", "item_id", (same / F.lit(size)).alias("similarity")).where(F.col("similarity") >= similarity)
-        out = hits if out is None else out.unionByName(hits)
+        out += [(size, 1000 * size + n, F.xxhash64(F.lit(size), F.lit(n), *[token(i) for i in range(size) if i not in gone])) for n, gone in enumerate(left_out(size, similarity))]
     return out
 
 
+def _bits(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Bits of seeds as one row with an array of longs, 16 bits or more a seed as far as MOST_WORDS goes."""
+    words = 1 << min(MOST_WORDS, max(8, (n // 4).bit_length()))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("seed", 40).bitwiseAND(F.lit(63)).cast("int"))
+    held = seeds.groupBy(F.col("seed").bitwiseAND(F.lit(words - 1)).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = seeds.sparkSession.range(words).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), words
+
+
+def _perhaps(seed: Column, held: Column, words: int) -> Column:
+    """Whether the seed may be one of those whose bits are held; never false for one that is."""
+    word = F.get(held, seed.bitwiseAND(F.lit(words - 1)).cast("int"))
+    return F.call_function("shiftright", word, F.shiftrightunsigned(seed, 40).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, item_id, similarity) of contaminated documents, once a pair."""
     scratch = Scratch(docs.sparkSession, "seeds")
     docs = docs.select(F.col("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select("item_id", hashed_tokens(F.col("text")).alias("t")).where("item_id is not null").where(F.size("t") > 0)
     items = scratch.save("items", items)
-    short, items = items.where(F.size("t") < SPAN), items.where(F.size("t") >= SPAN)
-    places = _positions(items, "item_id")
-    every = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col(f"seed{n}").alias("seed")) for n in range(len(MASKS))]))
-    seeds = places.select("item_id", "pos", every.alias("s")).groupBy("s.mask", "s.seed").agg(F.collect_set(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("places"))
-    seeds = scratch.save("seeds", seeds)
-    known = seeds.agg(F.sum(F.size("places"))).first()[0] or 0
+    sizes = sorted(r.size for r in items.where(F.size("t") < SPAN).select(F.size("t").alias("size")).distinct().collect())  # under SPAN
+    keys = _keys(sizes, similarity)
+    # A long item has seeds at each of its places, a short one at its first alone.
+    own = [F.when((F.col("of") >= SPAN) & F.col(f"w.t{SPAN - 1}").isNotNull() if needed == SPAN else (F.col("of") == needed) & (F.col("pos") == 0), F.struct(F.lit(kind).alias("kind"), seed.alias("seed"))) for needed, kind, seed in keys]
+    seeds = _places(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), F.explode(F.array_compact(F.array(*own))).alias("s"))
+    seeds = scratch.save("seeds", seeds.select("s.kind", "s.seed", "item_id", "item_pos"))
+    held, words = _bits(seeds, seeds.count())
+    held = scratch.save("bits", held).scalar()
+    # Places of documents whose bits say that they may have a seed go on; the join with the seeds tells.
+    likely = [F.when(F.col(f"w.t{needed - 1}").isNotNull() & _perhaps(seed, held, words), F.struct(F.lit(kind).alias("kind"), seed.alias("seed"))) for needed, kind, seed in keys]
     hashed = docs.select("doc_id", hashed_tokens(F.col("text")).alias("t"))
-    brief = _short(hashed, short, similarity, scratch)
-    found = _positions(hashed, "doc_id")
-    for n in range(len(MASKS)):
-        own = seeds.where(F.col("mask") == n).select(F.col("seed").alias(f"seed{n}"), F.col("places").alias(f"places{n}"))
-        found = found.join(broadcast_if_small(own, known, BROADCAST_ROWS), f"seed{n}", "left")
-    hit = [F.col(f"places{n}") for n in range(len(MASKS))]
-    none = F.array().cast("array<struct<item_id:bigint,item_pos:int>>")
-    hits = found.where(F.coalesce(*hit).isNotNull()).select("doc_id", "pos", F.explode(functools.reduce(F.array_union, [F.coalesce(x, none) for x in hit])).alias("h"))
-    hits = hits.groupBy("doc_id", F.col("h.item_id").alias("item_id"), (F.col("pos") - F.col("h.item_pos")).alias("shift"))
-    hits = scratch.save("hits", hits.agg(F.min("h.item_pos").alias("first"), F.max("h.item_pos").alias("last")))
+    found = _places(hashed, "doc_id").select("doc_id", "pos", F.explode(F.array_compact(F.array(*likely))).alias("s"))
+    hits = found.select("doc_id", "pos", "s.kind", "s.seed").join(broadcast_by_bytes(seeds), ["kind", "seed"])
+    hits = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = scratch.save("hits", hits.agg(F.min("item_pos").alias("first"), F.max("item_pos").alias("last")))
     wanted = scratch.save("wanted", hits.select("doc_id").distinct())
-    suspects = docs.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", hashed_tokens(F.col("text")).alias("t"))
+    suspects = docs.join(broadcast_by_bytes(wanted), "doc_id", "left_semi").select("doc_id", hashed_tokens(F.col("text")).alias("t"))
     pairs = hits.join(suspects, "doc_id").join(items.withColumnRenamed("t", "b"), "item_id")
     # The aligned tokens from a window before the first hit to a window after the last, as 0 and 1.
     low = F.greatest(F.col("first") - WINDOW, F.lit(0), -F.col("shift"))
@@ -135,5 +128,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", simi
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("width")), F.lit(0), lambda a, x: a + x))
     scored = pairs.select("doc_id", "item_id", same.alias("same"), width.alias("width")).where(F.size("same") >= F.col("width"))
     scored = scored.select("doc_id", "item_id", (F.array_max(sums) / F.col("width")).alias("similarity")).where(F.col("similarity") >= similarity)
-    scored = scored if brief is None else scored.unionByName(brief)
     return scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
