@@ -88,9 +88,10 @@ def _lists(*columns: list[np.ndarray]) -> list[pa.Array]:
 def format_conversations(rows: DataFrame, definition: str, learned: str = "assistant") -> DataFrame:
     """rows (conv_id, turn, role, text) -> (conv_id, formatted, ids, starts, ends, mask): starts and ends are token offsets in code points."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    turns = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), empty("role"), empty("text"))))
-    apart = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
-    grouped = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", apart.alias("apart")).groupBy("conv_id", "apart").agg(turns.alias("turns")).drop("apart")
+    turn = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), empty("role"), empty("text"))
+    own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    known = own.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    grouped = known.unionByName(own.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     shared = rows.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from canvass.llm.spans import U, mix
 
 LEAST, SHARE, TOP, UNKNOWN = 10, 50, 2000, "und"
 #: Words of a shard's trie; bytes of text for each range, and least ranges; bytes of one text that are split at a time.
-FLUSH, RANGE_BYTES, RANGES, SLICE = 1 << 20, 12 << 20, 32, 1 << 20
+FLUSH, RANGE_BYTES, RANGES, SLICE = 1 << 20, 12 << 20, 16, 1 << 20
 #: Parts of a language's phrases that are ranked on their own first.
 DEALT = 32
 #: A-Z to lower case, piece ends (. , ; : ! ? and 0x0A to 0x0D) to a line feed, tab to a space.
@@ -280,13 +280,10 @@ def _merged_rows(least: int):
             yield batch(WORD, len(often), h1=np.array(hashes, np.uint64).view(np.int64), lang=text(langs), word=text(kinds), a=counts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nodes, words = None, [], []
+        """A partition is a range."""
+        nodes, words = [], []
         for given in batches:
-            for at, node, word in zip(given.column(0).to_pylist(), given.column(1), given.column(2), strict=True):
-                if at != part and (nodes or words):
-                    yield from emit(nodes, words)
-                    nodes, words = [], []
-                part = at
+            for node, word in zip(given.column(0), given.column(1), strict=True):
                 (nodes if node.is_valid else words).append((node if node.is_valid else word).as_py())
         if nodes or words:
             yield from emit(nodes, words)
@@ -312,8 +309,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     ranges = max(RANGES, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
     for seed in itertools.count():
-        pieces = own.mapInArrow(_trie_rows(ranges, seed, flush, bits), _TRIES).repartition(int(ranges), "part").sortWithinPartitions("part")
-        found = scratch.save(f"merged{seed}", pieces.mapInArrow(_merged_rows(least), _MERGED))
+        pieces = own.mapInArrow(_trie_rows(ranges, seed, flush, bits), _TRIES).repartitionById(int(ranges), F.col("part").cast("int"))
+        found = scratch.save(f"merged{seed}", pieces.select("nodes", "words").mapInArrow(_merged_rows(least), _MERGED))
         if found.where(F.col("kind") == CLASH).isEmpty():
             break
         scratch.drop(f"merged{seed}")

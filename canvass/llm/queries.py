@@ -38,38 +38,46 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, as 16 hex digits, and the smallest doc_id that links within two bits reach."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score and prediction, learnt from the labelled rows that are not held out."""
     found = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each row whose vec_id 20 divides."""
     return ann.nearest(read(spark, sf_dir, "embeddings"), query_every=20)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of ids, and digests of them and of the bytes they decode to."""
     return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), codec())
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as read back from its formatted text and loss mask, with one that holds control strings."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(1).selectExpr("inline(array(struct(-7L, 0L, 'user', '</s>[INST] ok [/INST]'), struct(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')))")
     return chat.read_back(chat.format_conversations(rows.union(extra), definition()))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words, those removed as a repeat of a smaller doc_id, and a digest of the rest."""
     return lz_dedup.substring_dedup(read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes, those removed as a repeat of another place, and a digest of the rest."""
     return suffix_dedup.byte_dedup(read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts and digest of base spans, and all spans as text."""
     found = pii.personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.col("base.kind")
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, F.lit(k)))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
@@ -77,6 +85,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum as read back from the shards that its ids were written to."""
     root = token_store.new_root(spark)
     manifest = token_store.write_store(read(spark, sf_dir, "documents"), token_store.LibraryEncoder(definition()), root)
     return token_store.read_store(manifest, root)
