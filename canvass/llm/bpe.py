@@ -3,8 +3,8 @@
 Tier one resolves a whole pre-token that is in the vocabulary through a minimal perfect hash, with the stored bytes
 compared. Tier two merges the rest: byte parts form a linked list, and a heap gives the adjacent pair
 of least rank, leftmost on ties, until no pair has a rank. In front of both tiers stands a memory of chunks of text already resolved
-in this worker, of bounded bytes, since words recur; a chunk is cut where a white-space character follows a visible one, which no
-pre-token crosses.
+in this worker, of bounded bytes, since words recur; a chunk is cut where a white-space character follows a visible one, where no
+pre-token crosses that place (a pattern is tried for it; with another one whole texts are split).
 
 Cases: null is the empty text, which has no ids; special tokens are ordinary text; texts of any length
 are worked on whole; a rank file must hold all 256 single bytes; an empty table gives an empty result.
@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 from sys import getsizeof
 
@@ -57,6 +57,10 @@ def chunks(text: str) -> list[str]:
     return parts
 
 
+def _whole(text: str) -> list[str]:
+    return [text] if text else []
+
+
 class Memory:
     """Packed ids of chunks, in two generations of ``size`` bytes at most beside what one group of texts adds.
 
@@ -90,11 +94,21 @@ class Memory:
         return new
 
 
-def grouped(texts: Iterable[str | None], together: int = TOGETHER) -> Iterator[list[list[str]]]:
+#: Visible signs and white space that a pattern is tried with.
+_VISIBLE, _SPACES = "aA1.'_-é中🙂\x1c", " \t\n\r\x0b\u00a0\u2003"
+
+
+def stays_in_chunks(split: Callable[[str], list[str]]) -> bool:
+    """Whether no pre-token of a pattern goes from a visible character to white space, on short texts of all kinds."""
+    texts = (a + w + b for a in _VISIBLE for w in _SPACES for b in ("", "a", ".", " ", "\n", w + "a"))
+    return not any(re.search(r"[\S\x1c-\x1f][^\S\x1c-\x1f]", x) for text in texts for x in split(text))
+
+
+def grouped(texts: Iterable[str | None], together: int = TOGETHER, cut: Callable[[str], list[str]] = chunks) -> Iterator[list[list[str]]]:
     """Chunks of texts, in groups of about ``together`` chunks."""
     group, waiting = [], 0
     for text in texts:
-        group.append(chunks(text or ""))
+        group.append(cut(text or ""))
         waiting += len(group[-1])
         if waiting >= together:
             yield group
@@ -122,11 +136,14 @@ class Codec:
         self._prepare()
 
     def _prepare(self) -> None:
-        self.split, self.memory, self.text_of = regex.compile(self.pattern).findall, Memory(), list(map(str, range(self.size)))
+        compiled = regex.compile(self.pattern)
+        self.split = (lambda text: [m[0] for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
+        self.memory, self.text_of = Memory(), list(map(str, range(self.size)))
+        self.cut = chunks if stays_in_chunks(self.split) else _whole
         self.code = "H" if self.size <= 1 << 16 else "I"  # unsigned, of two or four bytes
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory", "text_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory", "text_of", "cut")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -184,7 +201,7 @@ class Codec:
 
     def encode_packed(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text. Chunks that are new in a group of texts are looked up together."""
-        for group in grouped(texts):
+        for group in grouped(texts) if self.cut is chunks else grouped(texts, cut=self.cut):
             self.memory.turn()
             self.learn(self.memory.unknown(set(chain.from_iterable(group))))
             known = self.memory.young.__getitem__

@@ -362,3 +362,17 @@ def test_personal_data_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cd now", 5, 6, 7, 8)], "doc_id long, text string, __row int, row int, given int, terms int")
     got = pii.personal_data(docs)
     assert got.columns == [*docs.columns, "base", "spans"] and tuple(got.first())[:6] == (1, "mail a@b.cd now", 5, 6, 7, 8)
+
+
+def test_patterns_that_cross_from_signs_to_white_space():
+    import tiktoken
+
+    from canvass.llm import bpe
+
+    ranks = queries.codec().ranks
+    assert queries.codec().cut is bpe.chunks
+    for pattern in (r"[^\s]+\s*|\s+", r"(\w+)|(\W+)", r".{1,7}|\n"):
+        codec = bpe.Codec(ranks, pattern)
+        library = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        texts = ["one two, three\n\nfour  .", "", "a.\n b" * 50, "é 中\u00a0x"]
+        assert codec.cut is not bpe.chunks and list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
