@@ -376,3 +376,48 @@ def test_patterns_that_cross_from_signs_to_white_space():
         library = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         texts = ["one two, three\n\nfour  .", "", "a.\n b" * 50, "é 中\u00a0x"]
         assert codec.cut is not bpe.chunks and list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+
+
+CLASH = "fp component_id sig h n k early prefix sketch row shared known found spans phrase place source anchor bucket stretch ids n_tokens kept runs collapsed part nodes words kind given base terms t of pos w seed score predicted held_out rank phrase".split()
+
+
+def test_columns_of_any_name_change_nothing(spark):
+    from canvass.llm import bpe, jaccard, lz_dedup, pii, quality, simhash, suffix_dedup, token_store
+
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 120")
+    names = [c for c in dict.fromkeys(CLASH) if c not in plain.columns]
+    extra = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    codec = queries.codec()
+
+    def stored(df):
+        root = token_store.new_root(spark)
+        return token_store.read_store(token_store.write_store(df, token_store.LibraryEncoder(queries.definition()), root), root)
+
+    for run, columns in (
+        (simhash.near_duplicates, ["doc_id", "fp", "component_id"]), (jaccard.near_duplicates, ["doc_id", "component_id"]), (lz_dedup.substring_dedup, ["doc_id", "n_removed", "kept_sha256"]),
+        (suffix_dedup.byte_dedup, ["doc_id", "n_removed", "kept_sha256"]), (lambda d: bpe.round_trip(d, codec), ["doc_id", "ids_sha256"]), (runs.periodic_runs, ["doc_id", "runs", "collapsed"]),
+        (lambda d: collocations.collocations(d, least=3), ["lang", "rank", "phrase", "score"]), (lambda d: quality.classify(d, labels), ["doc_id", "score", "predicted"]),
+        (pii.personal_data, ["doc_id", "base", "spans"]), (stored, ["doc_id", "start", "ids_crc32"]),
+    ):
+        one, other = (sorted(map(repr, run(df).select(*columns).collect())) for df in (plain, extra))
+        assert one == other and one
+
+
+def test_very_long_texts(spark):
+    from canvass.llm import bpe, chat, simhash
+
+    import tiktoken
+
+    draw = random.Random(2)
+    words = [f"word{k}" for k in range(500)]
+    long = " ".join(draw.choices(words, k=150_000)) + "x" * 100_000
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, None)], "doc_id long, text string")
+    codec = queries.codec()
+    library = tiktoken.Encoding("t", pat_str=codec.pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.round_trip(docs, codec).collect()}
+    assert got[1].n_tokens == len(library.encode_ordinary(long)) and got[2].decoded_sha256 == hashlib.sha256((long + " end").encode()).hexdigest()
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    turns = spark.createDataFrame([(5, 1, "user", "hi"), (5, 2, "assistant", long), (5, 3, "assistant", "")], "conv_id long, turn long, role string, text string")
+    told = chat.read_back(chat.format_conversations(turns, queries.definition())).collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars, r.loss_sha256) for r in told] == [(5, 3, len(long), hashlib.sha256(long.encode()).hexdigest())]
