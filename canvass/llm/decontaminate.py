@@ -71,12 +71,12 @@ def _places(rows: DataFrame, key: str) -> DataFrame:
     return parts.select(key, "of", "base", F.posexplode(shifted).alias("at", "w")).select(key, "of", (F.col("base") + F.col("at")).alias("pos"), "w")
 
 
-def _keys(sizes: list[int], similarity: float) -> list[tuple[int, int, Column]]:
-    """(tokens needed, kind, hash of a place's tokens) of each mask and, for short items of each size, of each choice of positions left out."""
+def _keys(sizes: list[int], similarity: float) -> list[tuple[int, Column]]:
+    """(tokens needed, hash of a place's tokens) of each mask and, for short items of each size, of each choice of positions left out; a key's kind is its number."""
     token = lambda i: F.col(f"w.t{i}")
-    out = [(SPAN, n, F.xxhash64(F.lit(n), *[token(i) for i in mask])) for n, mask in enumerate(MASKS)]
+    out = [(SPAN, F.xxhash64(F.lit(n), *[token(i) for i in mask])) for n, mask in enumerate(MASKS)]
     for size in sizes:
-        out += [(size, 1000 * size + n, F.xxhash64(F.lit(size), F.lit(n), *[token(i) for i in range(size) if i not in gone])) for n, gone in enumerate(left_out(size, similarity))]
+        out += [(size, F.xxhash64(F.lit(size), F.lit(n), *[token(i) for i in range(size) if i not in gone])) for n, gone in enumerate(left_out(size, similarity))]
     return out
 
 
@@ -104,16 +104,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", simi
     sizes = sorted(r.size for r in items.where(F.size("t") < SPAN).select(F.size("t").alias("size")).distinct().collect())  # under SPAN
     keys = _keys(sizes, similarity)
     # A long item has seeds at each of its places, a short one at its first alone.
-    own = [F.when((F.col("of") >= SPAN) & F.col(f"w.t{SPAN - 1}").isNotNull() if needed == SPAN else (F.col("of") == needed) & (F.col("pos") == 0), F.struct(F.lit(kind).alias("kind"), seed.alias("seed"))) for needed, kind, seed in keys]
-    seeds = _places(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), F.explode(F.array_compact(F.array(*own))).alias("s"))
-    seeds = scratch.save("seeds", seeds.select("s.kind", "s.seed", "item_id", "item_pos"))
+    own = [F.when((F.col("of") >= SPAN) & F.col(f"w.t{SPAN - 1}").isNotNull() if needed == SPAN else (F.col("of") == needed) & (F.col("pos") == 0), seed) for needed, seed in keys]
+    seeds = _places(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), F.posexplode(F.array(*own)).alias("kind", "seed"))
+    seeds = scratch.save("seeds", seeds.where("seed is not null"))
     held, words = _bits(seeds, seeds.count())
     held = scratch.save("bits", held).scalar()
-    # Places of documents whose bits say that they may have a seed go on; the join with the seeds tells.
-    likely = [F.when(F.col(f"w.t{needed - 1}").isNotNull() & _perhaps(seed, held, words), F.struct(F.lit(kind).alias("kind"), seed.alias("seed"))) for needed, kind, seed in keys]
+    # Of all places and kinds those go on whose bits say that they may be a seed; the join with the seeds tells.
+    every = [F.when(F.col(f"w.t{needed - 1}").isNotNull(), seed) for needed, seed in keys]
     hashed = docs.select("doc_id", hashed_tokens(F.col("text")).alias("t"))
-    found = _places(hashed, "doc_id").select("doc_id", "pos", F.explode(F.array_compact(F.array(*likely))).alias("s"))
-    hits = found.select("doc_id", "pos", "s.kind", "s.seed").join(broadcast_by_bytes(seeds), ["kind", "seed"])
+    found = _places(hashed, "doc_id").select("doc_id", "pos", F.posexplode(F.array(*every)).alias("kind", "seed"))
+    hits = found.where(F.col("seed").isNotNull() & _perhaps(F.col("seed"), held, words)).join(broadcast_by_bytes(seeds), ["kind", "seed"])
     hits = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     hits = scratch.save("hits", hits.agg(F.min("item_pos").alias("first"), F.max("item_pos").alias("last")))
     wanted = scratch.save("wanted", hits.select("doc_id").distinct())
