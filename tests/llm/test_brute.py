@@ -115,3 +115,63 @@ def test_classifier_against_plain_dictionaries(spark):
             z[k] += slope - rate * w[k]
             n[k] += slope * slope
     assert len(kept) > 20 and all(got[d] == pytest.approx(probability(plain_features(t)), abs=1e-6) for d, t in texts.items())
+
+
+def shingles(text: str | None) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    size = min(5, len(words))
+    return frozenset(tuple(words[k : k + size]) for k in range(len(words) - size + 1)) if words else frozenset()
+
+
+def one_of_each_group(texts: dict[int, str | None]) -> set[int]:
+    """The least doc_id of each group that pairs of Jaccard similarity 0.8 connect, all pairs tried."""
+    ids, sets = sorted(texts), {d: shingles(t) for d, t in texts.items()}
+    group = {d: d for d in ids}
+
+    def top(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    return {top(d) for d in ids}
+
+
+def test_whole_pipeline_against_plain_stages(spark, tmp_path):
+    import hashlib
+
+    import tiktoken
+
+    import corpus_pipeline
+    from canvass.llm import pii, queries
+
+    sf = "/root/testdata/sf0.01"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 500")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    scores = {r.doc_id: r.score for r in quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if scores[r.doc_id] >= 0.7}
+    kept = one_of_each_group(texts)
+    items = hashed(spark, spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id")
+    clean = [d for d, t in hashed(spark, docs, "doc_id") if d in kept and not any(aligned(t, item) >= 0.8 for _, item in items)]
+    assert len(texts) > len(kept) > len(clean) > 100 and got.keys() == set(clean)
+    left = docs.where(F.col("doc_id").isin(clean)).select("doc_id", "text")
+    codec = queries.codec()
+    library = tiktoken.Encoding("t", pat_str=codec.pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    names = (*pii.KINDS, "term")
+    for r in pii.personal_data(left).collect():  # the spans are held against patterns and counts elsewhere
+        out, at = [], 0
+        for s in r.spans:
+            if s["start"] >= at:
+                out += [r.text[at : s["start"]], f"<{names[s['kind']]}>"]
+            at = max(at, s["end"])
+        text = "".join(out) + r.text[at:]
+        ids = library.encode_ordinary(text)
+        assert got[r.doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
