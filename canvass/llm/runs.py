@@ -7,7 +7,7 @@ An extension is the least value between two ranks of a suffix array's common pre
 backward ones come from the same arrays of the reversed words. A pair whose words differ extends by nothing and needs no query.
 
 Texts are worked on as a few at a time, with words numbered per text so that none matches another text's. Over n words that
-makes about n ln n pairs in all; each text is whole in one task, at some 200 bytes of memory a word for the longest text.
+makes about n ln n pairs in all; each text is whole in one task, at some 300 bytes of memory a word for the longest text.
 
 Cases: null and empty texts have no words and no run; every row is judged by its own text, so repeated and null doc_ids have a row each; an empty
 table gives an empty result; further columns are ignored.
