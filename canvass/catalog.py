@@ -795,3 +795,34 @@ def report_visuals(spark, sf_dir):
     rows = rows.unionByName(rounded(bins.selectExpr("'histogram' part", "'l_extendedprice' name", "low", "high", "n"), "low", "high"))
     rows = rows.unionByName(found["points"].groupBy("column").agg(F.count("*").alias("n")).selectExpr("'points' part", "column name", "cast(null as double) low", "cast(null as double) high", "n"))
     return rows.unionByName(spark.createDataFrame([("summary", "lineitem", None, None, told)], rows.schema))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 > 2 THEN event_id END AS holed, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS mixed,
+    CASE WHEN event_id % 3 = 0 THEN event_id + 0.5 ELSE event_id END AS fraction, CAST(NULL AS DOUBLE) AS nothing, event_id % 2 = 0 AS flag FROM events"""
+)
+def csv_missing_and_mixed(spark, sf_dir):
+    """Cells that mean a missing value, and columns whose type follows from all of their cells."""
+    path, i = Scratch(spark, "mixed").path("csv"), F.col("event_id")
+    text = i.cast("string")
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.when(i % 7 == 0, "NA").when(i % 7 == 1, "n/a").when(i % 7 == 2, "#N/A").otherwise(text).alias("holed"), F.when(i % 5 == 0, "x").otherwise(text).alias("mixed"),
+        F.when(i % 3 == 0, F.concat(text, F.lit(".5"))).otherwise(text).alias("fraction"), F.when(i % 2 == 0, "nan").alias("nothing"), F.when(i % 2 == 0, "True").otherwise("False").alias("flag"),
+    )
+    sinks.write_csv(df, path)
+    return readers.read_csv(spark, path)
+
+
+@query(
+    f"""WITH {PLANTED}, p AS (SELECT value, user_id, event_type FROM planted)
+    SELECT 'row_count' AS name, CAST(count(*) AS BIGINT) AS n FROM p UNION ALL SELECT 'col_count', 3
+    UNION ALL SELECT 'missing_count', CAST(sum((value IS NULL)::INT + (user_id IS NULL)::INT + (event_type IS NULL)::INT) AS BIGINT) FROM p
+    UNION ALL SELECT 'duplicate_rows', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM p GROUP BY value, user_id, event_type HAVING count(*) > 1)
+    UNION ALL SELECT 'numeric ' || c, 1 FROM (VALUES ('value'), ('user_id')) AS t(c) UNION ALL SELECT 'header ' || c, 1 FROM (VALUES ('value'), ('user_id'), ('event_type')) AS t(c)"""
+)
+def profile_response(spark, sf_dir):
+    """The upload profile as one document."""
+    told = profile.profile(planted(spark, sf_dir).drop("event_id"), "events.csv")
+    rows = [(k, told[k]) for k in ("row_count", "col_count", "missing_count", "duplicate_rows")]
+    rows += [(f"numeric {c}", 1) for c in told["numeric_columns"]] + [(f"header {c}", 1) for c in told["headers"]] + [(f"equal {c}", 1) for c in told["duplicate_cols"]]
+    return spark.createDataFrame(rows, "name string, n long")
