@@ -9,7 +9,7 @@ share (alone: none is a duplicate) and by the one they cover (repeated: all are)
 that neither settles go on, and each round reuses the rows that the one before left.
 
 Buckets are counted with map-side combining, so a passage in a third of all documents makes no large
-group. Anchors and buckets go by a fast hash that may collide, and only find candidates; strings count as equal by 64 bits of BLAKE2b.
+group. Anchors and buckets go by a fast hash that may collide, and only find candidates; strings count as equal by 64-bit XXH3 of their bytes.
 
 Cases: null and empty texts have no bytes; texts under WINDOW bytes keep all; rows of equal texts are
 duplicates of each other, whatever their doc_id, also where it is null or repeated; an empty table gives
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.common import Scratch
 from canvass.llm.spans import PIECE, SpanHasher, U, anchors, mix, pieces, signed
 
-WINDOW, GRAM, BLOCK = 200, 32, 13
+WINDOW, GRAM, BLOCK, SEED = 200, 32, 13, 0x5DEECE66D
 
 
 def _encode(text: str | None) -> bytes:
@@ -52,10 +53,9 @@ def stretches(data: bytes, window: int, gram: int):
 
 
 def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of BLAKE2b of each span: strings count as equal by these."""
-    blake = hashlib.blake2b
-    each = [blake(data[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return np.frombuffer(b"".join(each), np.dtype("<u8")).astype(np.uint64)
+    """64-bit XXH3 of each span's bytes: strings count as equal by these."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter([digest(data[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64, len(starts))
 
 
 def _stretch_hashes(data, at, first, last, window) -> np.ndarray:
@@ -111,8 +111,10 @@ def _context_rows(window: int, gram: int):
         for batch in batches:
             out = ([], [], [])
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, wanted = _encode(text), wanted.values.to_numpy().view(np.uint64)
-                for part, low, at, first, last, _ in stretches(data, window, gram):
+                data, (wanted, buckets) = _encode(text), (wanted.values.field(i).to_numpy().view(np.uint64) for i in (0, 1))
+                for part, low, at, first, last, bucket in stretches(data, window, gram):
+                    keep = np.isin(bucket, buckets)
+                    at, first, last = at[keep], first[keep], last[keep]
                     hashes = _stretch_hashes(part, at, first, last, window)
                     _, once = np.unique(hashes, return_index=True)
                     once = once[np.isin(hashes[once], wanted)]
@@ -181,10 +183,13 @@ def _outcome(window: int, gram: int, with_text: bool):
                 gone = np.zeros(len(data), bool)
                 if found.is_valid and len(data) >= window:
                     steps = np.zeros(len(data) + 1, np.int64)
-                    known, low, high = (found.values.field(i).to_numpy() for i in range(3))
+                    known, low, high, buckets = (found.values.field(i).to_numpy() for i in range(4))
+                    buckets = np.unique(buckets.view(np.uint64))
                     order = np.argsort(known.view(np.uint64), kind="stable")
                     known, low, high = known.view(np.uint64)[order], low[order], high[order]
-                    for part, base, at, first, last, _ in stretches(data, window, gram):
+                    for part, base, at, first, last, bucket in stretches(data, window, gram):
+                        keep = np.isin(bucket, buckets)
+                        at, first, last = at[keep], first[keep], last[keep]
                         hashes = _stretch_hashes(part, at, first, last, window)
                         a, b = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
                         which = np.repeat(np.arange(len(at)), b - a)
@@ -229,8 +234,8 @@ def byte_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window:
     # A stretch seen once is not settled yet, nor are windows that it shares with others of its bucket.
     weights = scratch.save("weights", found.groupBy("bucket", "stretch").agg(F.sum("n").alias("n"), F.min("row").alias("row")))
     open_buckets = weights.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    to_refine = scratch.save("to_refine", weights.join(open_buckets.select("bucket"), "bucket").groupBy("stretch").agg(F.max("n").alias("n"), F.min("row").alias("row")))
-    wanted = to_refine.groupBy("row").agg(F.collect_set("stretch").alias("wanted"))
+    to_refine = scratch.save("to_refine", weights.join(open_buckets.select("bucket"), "bucket").groupBy("stretch").agg(F.max("n").alias("n"), F.min(F.struct("row", "bucket")).alias("first")).select("stretch", "n", "first.row", "first.bucket"))
+    wanted = to_refine.groupBy("row").agg(F.collect_set(F.struct("stretch", "bucket")).alias("wanted"))
     contexts = usable.join(wanted, "row").select("text", "wanted").mapInArrow(_context_rows(window, gram), "stretch long, place long, data binary")
     contexts = scratch.save("contexts", contexts.dropDuplicates(["stretch"]))
     columns = ("stretch", "n", "place", "data", "low", "high")
@@ -243,8 +248,8 @@ def byte_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window:
     part = first.where("sure and n = 1").union(second.where("sure and n = 1")).select("stretch", "low", "high")
     part = part.groupBy("stretch").agg(F.collect_list(F.struct("low", "high")).alias("parts"))
     whole = weights.where("n > 1").select("stretch").distinct().select("stretch", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(widest).cast("long").alias("high"))).alias("parts"))
-    known = found.select("row", "stretch").distinct().join(part.union(whole), "stretch").select("row", "stretch", F.explode("parts").alias("p"))
-    known = scratch.save("known", known.groupBy("row").agg(F.collect_set(F.struct("stretch", "p.low", "p.high")).alias("known")))
+    known = found.select("row", "stretch", "bucket").distinct().join(part.union(whole), "stretch").select("row", "stretch", "bucket", F.explode("parts").alias("p"))
+    known = scratch.save("known", known.groupBy("row").agg(F.collect_set(F.struct("stretch", "p.low", "p.high", "bucket")).alias("known")))
     scratch.drop("stretches", "weights", "to_refine", "blocks_judged", "offsets_judged")
     kept = output == "kept"
     return docs.join(known, "row", "left").select("doc_id", "text", "known").mapInArrow(
