@@ -133,22 +133,26 @@ def _refined_rows(window: int, block: int):
     block's windows share; full: of those that they cover.
     """
 
+    digest = xxhash.xxh3_64_intdigest
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(6)]
+            columns = [[] for _ in range(6)]
+            stretches_, counts, lows, highs, cores, fulls = columns
             for stretch, n, place, data, low, high in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 least = max(low, place - (len(data) - window))
                 most = min(high, place)
-                if least > most:
-                    continue
-                lows = np.arange(least // block * block, most + 1, block)
-                lo, hi = np.maximum(lows, least), np.minimum(lows + block - 1, most)
-                # The core holds for the block as a whole, so that stretches which cover different parts of it compare.
-                core = mix(_digests(data, place - lows, np.maximum(place - lows, place - lows - block + 1 + window)) + lows.astype(np.uint64))
-                full = mix(_digests(data, place - hi, place - lo + window) + (lo * 512 + hi).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-                for values, x in zip(out, (np.full(len(lo), stretch), np.full(len(lo), n), lo, hi, signed(core), signed(full)), strict=True):
-                    values.append(x.astype(np.int64))
-            arrays = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+                for first in range(least // block * block, most + 1, block):
+                    lo, hi = max(first, least), min(first + block - 1, most)
+                    stretches_.append(stretch)
+                    counts.append(n)
+                    lows.append(lo)
+                    highs.append(hi)
+                    # The core holds for the block as a whole, so that stretches which cover different parts of it compare. Seeds tell offsets apart.
+                    begin = place - first
+                    cores.append(digest(data[begin : max(begin, begin - block + 1 + window)], SEED + first))
+                    fulls.append(digest(data[place - hi : place - lo + window], SEED + (lo + 1 << 20 | hi << 8)))
+            arrays = [np.array(x, np.int64) for x in columns[:4]] + [signed(np.array(x, np.uint64)) for x in columns[4:]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["stretch", "n", "low", "high", "core", "full"])
 
     return rows
