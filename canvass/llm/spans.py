@@ -1,6 +1,6 @@
 """NumPy helpers: word bounds, hashes of phrases and of byte spans, and winnowed anchors of fixed-length windows.
 
-A phrase's hash is a chain over the 64-bit hashes of its words, with a multiply-xor step after each, so that it depends on nothing but their sequence.
+A phrase's hash is made of the 64-bit hashes of its words, two runs at a time with multiply-xor steps, so that it depends on nothing but their sequence.
 
 A byte span's hash is a polynomial over a fixed random byte table modulo 2**64, so that any span of a text comes from two prefix sums. Equal spans
 have equal hashes, but there are different ones, as a Thue-Morse string and its complement, that always agree: it may choose anchors and
@@ -37,30 +37,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _WordHashes(dict):
-    """Hashes of words; the first ones met are remembered."""
-
-    KEPT, LONG = 200_000, 32
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= self.LONG and len(self) < self.KEPT:
-            self[word] = value
-        return value
-
-
-_known = _WordHashes()
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    out = left * U(_BASE)
+    out += right
+    out ^= out >> U(31)
+    out *= U(0xBF58476D1CE4E5B9)
+    out ^= out >> U(29)
+    return out
 
 
 def phrase_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """Of each run of so many words, by its first word."""
+    """Of each run of so many words, by its first word: from hashes of runs of half as many, which may overlap."""
     if len(words) < size:
         return np.zeros(0, np.uint64)
-    each = mix(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
-    n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = mix(out * U(_BASE) + each[k : k + n])
+    out, covered = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 1
+    while covered < size:
+        step = min(covered, size - covered)
+        out = _joined(out[:-step], out[step:])
+        covered += step
     return out
 
 
