@@ -18,8 +18,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, islice
-from sys import getsizeof
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,10 @@ from pyspark.sql import types as T
 
 from canvass.llm.mph import MinimalPerfectHash
 
-#: Bytes of each of a memory's two generations in every worker (more is faster); chunks of texts that are looked up together; rows of a batch that goes back.
-REMEMBERED, TOGETHER, ROWS = 24 << 20, 50_000, 512
-#: Characters of a chunk beyond which it is not remembered, and bytes of an entry's place in a dictionary.
-LONG, PLACE = 64, 100
+#: Chunks in each of a memory's two generations in every worker (more are faster); chunks of texts that are looked up together; rows of a batch that goes back.
+REMEMBERED, TOGETHER, ROWS = 100_000, 50_000, 512
+#: Characters of a chunk beyond which it is not remembered.
+LONG = 64
 # 0x1C to 0x1F are white space for Python alone.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
@@ -62,25 +61,22 @@ def _whole(text: str) -> list[str]:
 
 
 class Memory:
-    """Packed ids of chunks, in two generations of ``size`` bytes at most beside what one group of texts adds.
+    """Packed ids of chunks, in two generations of ``size`` chunks at most beside what one group of texts adds.
 
-    A full generation becomes the old one, whose chunks are kept only if they are met again. Chunks of over LONG characters are
-    known for their group alone.
+    A full generation becomes the old one, whose chunks are kept only if they are met again. Chunks of over LONG characters are known for their
+    group alone, so that the bytes of a generation are bounded as well: some 0.2 kB a chunk, 0.6 kB at most.
     """
 
     def __init__(self, size: int = REMEMBERED):
-        self.size, self.young, self.old, self.held, self.counted = size, {}, {}, 0, 0
+        self.size, self.young, self.old, self.long = size, {}, {}, []
 
     def turn(self) -> None:
-        """Between two groups of texts: counts and thins what the last one has added, which stands last."""
-        for chunk, ids in list(islice(reversed(self.young.items()), len(self.young) - self.counted)):
-            if len(chunk) > LONG:
-                del self.young[chunk]
-            else:
-                self.held += getsizeof(chunk) + getsizeof(ids) + PLACE
-        if self.held > self.size:
-            self.young, self.old, self.held = {}, self.young, 0
-        self.counted = len(self.young)
+        """Between two groups of texts."""
+        for chunk in self.long:
+            self.young.pop(chunk, None)
+        self.long = []
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
 
     def unknown(self, kinds: Iterable[str]) -> list[str]:
         """The chunks to resolve; the others are in ``young`` afterwards."""
@@ -89,6 +85,8 @@ class Memory:
             if x not in young:
                 if (found := old.get(x)) is None:
                     new.append(x)
+                    if len(x) > LONG:
+                        self.long.append(x)
                 else:
                     young[x] = found
         return new
@@ -192,6 +190,7 @@ class Codec:
         """Remember the ids of new chunks and of the pre-tokens in them."""
         split, known = list(map(self.split, found)), self.memory.young
         new = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in known]
+        self.memory.long += [x for x in new if len(x) > LONG]
         tokens = [x.encode("utf-8", "surrogatepass") for x in new]
         for text, token, at in zip(new, tokens, self.whole(tokens), strict=True):
             known[text] = array(self.code, (at,) if at >= 0 else self.merge(token)).tobytes()

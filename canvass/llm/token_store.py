@@ -36,8 +36,8 @@ from canvass.llm.spans import U, mix
 NULL_KEY = -(2**63)
 #: Bytes of ids from which a task goes on in a new shard.
 SHARD_BYTES = 128 << 20
-#: New chunks that go to the library as one text; bytes of each generation of the memory.
-TOGETHER, REMEMBERED = 1024, 80 << 20
+#: New chunks that go to the library as one text; chunks in each generation of the memory.
+TOGETHER, REMEMBERED = 1024, 600_000
 _SIGNS = ",.;:!?"
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
