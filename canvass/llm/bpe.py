@@ -117,8 +117,8 @@ def grouped(texts: Iterable[str | None], together: int = TOGETHER, cut: Callable
 class Codec:
     """Encoder and decoder over one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.ranks, self.pattern, self.remembered = ranks, pattern, remembered
         tokens = list(ranks)
         keys = self._keys(tokens)
         self.hash = MinimalPerfectHash.build(keys)
@@ -136,7 +136,7 @@ class Codec:
     def _prepare(self) -> None:
         compiled = regex.compile(self.pattern)
         self.split = (lambda text: [m[0] for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
-        self.memory, self.text_of = Memory(), list(map(str, range(self.size)))
+        self.memory, self.text_of = Memory(self.remembered), list(map(str, range(self.size)))
         self.cut = chunks if stays_in_chunks(self.split) else _whole
         self.code = "H" if self.size <= 1 << 16 else "I"  # unsigned, of two or four bytes
 

@@ -20,10 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def codec(path: str | None = None) -> bpe.Codec:
+def codec(path: str | None = None, remembered: int = bpe.REMEMBERED) -> bpe.Codec:
     import public_tokenizers
 
-    return bpe.Codec(bpe.read_ranks(path or tokenizer_path(BPE_RANKS)), public_tokenizers.PATTERN)
+    return bpe.Codec(bpe.read_ranks(path or tokenizer_path(BPE_RANKS)), public_tokenizers.PATTERN, remembered)
 
 
 def definition(path: str | None = None) -> str:
@@ -56,7 +56,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of ids, and digests of them and of the bytes they decode to."""
-    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), codec())
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), codec(remembered=500_000))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
