@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from canvass.scratch import Scratch, broadcast_by_bytes, setting
 
 WHOLE, HEAD, TAIL = range(3)
+#: Bytes of splits that one task reads one after another: small splits don't each cost a task and an output file.
+TASK_BYTES = 32 << 20
 _RECORDS = "file string, block long, at long, kind int, text string"
 
 
@@ -29,6 +31,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return found.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
+def _dealt(found: DataFrame, split_bytes: int) -> DataFrame:
+    """lines with a task for TASK_BYTES of splits, or as many as there are cores; splits stay whole and their lines in order."""
+    splits = found.rdd.getNumPartitions()
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, -(-splits * split_bytes // TASK_BYTES))
+    return found.coalesce(tasks) if tasks < splits else found
+
+
 def starts_open(found: DataFrame) -> DataFrame:
     """lines -> (file, block, open: the split starts within quotes, last: the file ends within them)."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
@@ -111,9 +120,15 @@ def records(spark: SparkSession, path: str, scratch: Scratch, split_bytes: int |
     """
     key = "spark.sql.files.maxPartitionBytes"
     with setting(spark, key, str(split_bytes) if split_bytes else spark.conf.get(key)), setting(spark, "spark.sql.files.openCostInBytes", "0" if split_bytes else spark.conf.get("spark.sql.files.openCostInBytes")):
-        found = lines(spark, path)
+        found = _dealt(lines(spark, path), split_bytes) if split_bytes else lines(spark, path)
         states = scratch.save("states", starts_open(found))
-        told = found.join(broadcast_by_bytes(states.select("file", "block", "open")), ["file", "block"]).select("value", "file", "block", "open")
+        opens = states.select("file", "block", "open")
+        small = broadcast_by_bytes(opens)
+        if small is opens:  # too many splits to broadcast: the join deals lines anew, each split's to one task but in any order
+            told = found.withColumn("place", F.monotonically_increasing_id()).join(opens, ["file", "block"]).sortWithinPartitions("file", "block", "place")
+        else:
+            told = found.join(small, ["file", "block"])
+        told = told.select("value", "file", "block", "open")
         pieces = scratch.save("pieces", told.mapInArrow(_record_rows, _RECORDS))
     order = Window.partitionBy("file").orderBy("block", "kind")
     parts = pieces.where(F.col("kind") != WHOLE).withColumn("record", F.count_if(F.col("kind") == TAIL).over(order))

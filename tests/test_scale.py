@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from canvass.functions import scan
 from canvass.functions.quantiles import exact_quantiles, grouped_quantiles
 from canvass.operators import pivot, profile
-from canvass.scratch import Scratch
+from canvass.scratch import Scratch, setting
 from canvass.sources import readers, records
 
 
@@ -113,6 +113,31 @@ def test_csv_cells_with_line_ends_in_splits(spark, tmp_path, split_bytes):
     assert split_bytes is None or records.lines(spark, str(tmp_path)).count() and len(scratch.read("pieces").inputFiles()) > 1
 
 
+def test_many_small_splits_take_few_tasks(spark, tmp_path):
+    text, rows = some_csv(random.Random(5), 400)
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    scratch = Scratch(spark, "test")
+    found, sound = records.records(spark, str(tmp_path), scratch, 64)
+    assert sound and found.count() == len(rows) + 1
+    assert found.select("file", "block").distinct().count() > 100
+    assert len(scratch.read("pieces").inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("split_bytes", [64, 600])
+def test_csv_with_too_many_splits_for_a_broadcast(spark, tmp_path, split_bytes, monkeypatch):
+    expected = []
+    for k in range(3):
+        text, rows = some_csv(random.Random(k), 300)
+        (tmp_path / f"part{k}.csv").write_bytes(text.encode())
+        expected += rows
+    monkeypatch.setattr(records, "broadcast_by_bytes", lambda df: df)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, "spark.sql.adaptive.autoBroadcastJoinThreshold", "-1"):
+        df = readers.read_csv(spark, str(tmp_path), row_label="row", split_bytes=split_bytes)
+        got = [tuple(r) for r in df.orderBy("row").collect()]
+    clean = lambda x: None if x in readers.NA_TOKENS else x
+    assert got == [(int(a), clean(b), clean(c), k) for k, (a, b, c) in enumerate(expected)]
+
+
 def test_csv_with_stray_quotes_is_read_whole(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('a,b\n1,5" pipe\n2,"two\nlines"\n')
