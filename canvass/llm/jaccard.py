@@ -1,7 +1,11 @@
-"""Near duplicates by exact Jaccard similarity of word shingles: candidates, verification, components.
+"""Near duplicates by exact Jaccard similarity of word shingles: fingerprints, candidates, verification, components.
 
 A document's set holds the 64-bit hashes of its SHINGLE-word shingles (of all its words, if there are fewer). Documents of equal
-sets are one class. Two sets whose similarity is at least s share an element among the first n - ceil(s n) + 1 of each,
+sets are one class. Each class has the SimHash fingerprint of its set; the pivot distance table (``pivot_table``) finds fingerprints within two
+bits, and such classes link if their sets are similar. Similar sets may have fingerprints further apart, without a bound: a join finds those, among
+the pairs that the links so far don't connect.
+
+For the join: two sets whose similarity is at least s share an element among the first n - ceil(s n) + 1 of each,
 whatever the order of elements, so classes that share one of those are all the candidates there are: none is missed.
 Elements that are common in a sample of texts come last in that order, which keeps the groups small; the sample affects speed alone.
 
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 from canvass.llm.common import Scratch, broadcast_by_bytes, broadcast_if_small
 from canvass.llm.components import connected_components
+from canvass.llm.pivot_table import bit_counts, majority
+from canvass.llm.pivot_table import links as within_radius
 from canvass.llm.spans import mix, phrase_hashes
 
 SHINGLE, SIMILARITY, CROWD, ROUNDS, BROADCAST_ROWS = 5, 0.8, 32, 3, 500_000
@@ -88,7 +94,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, sig, n, prefix, sketch): the set's hash and size, and the elements that candidates share one of."""
+    """docs (doc_id, text) -> (doc_id, sig, fp, n, prefix, sketch): the set's hash, fingerprint and size, and the elements that candidates share one of."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,10 +108,10 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     rank = np.where(hashes[at] == found, counts[at], 0)
                 first = found[np.lexsort((found, rank))[: prefix_size(len(found), similarity)]]
-                rows.append((doc_id, signature(found), len(found), index_size(len(found), similarity), first.view(np.int64), sketch(found)))
-            yield pd.DataFrame(rows, columns=["doc_id", "sig", "n", "early", "prefix", "sketch"])
+                rows.append((doc_id, signature(found), majority(bit_counts(found), len(found)), len(found), index_size(len(found), similarity), first.view(np.int64), sketch(found)))
+            yield pd.DataFrame(rows, columns=["doc_id", "sig", "fp", "n", "early", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, sig long, n int, early int, prefix array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, sig long, fp long, n int, early int, prefix array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -178,39 +184,57 @@ def _early(a: str, b: str):
     return ((F.col(f"n_{a}") > F.col(f"n_{b}")) | F.col(f"early_{a}")) & ((F.col(f"n_{b}") > F.col(f"n_{a}")) | F.col(f"early_{b}"))
 
 
-def links(members: DataFrame, classes: Classes, scratch: Scratch, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """members (h, sig, n, k: elements in the prefix, early: within index_size) -> links (a, b), enough to connect all similar pairs.
+def close_links(prints: DataFrame, classes: Classes, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """prints (sig, fp) -> links (a, b): similar classes of one fingerprint or of two that the pivot distance table links.
+
+    The least class of a fingerprint stands for it in the table, and the others are tried with that one.
+    """
+    firsts = scratch.save("firsts", prints.groupBy("fp").agg(F.min("sig").alias("id"), F.count("*").alias("n")))
+    several = broadcast_by_bytes(firsts.where("n > 1").select("fp", "id"))
+    equal = prints.join(several, "fp").where("sig <> id").select(F.col("id").alias("a"), F.col("sig").alias("b"))
+    pairs = equal.union(within_radius(firsts.select("fp", "id"), scratch))
+    pairs = scratch.save("closepairs", pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.drop("firsts", "keyed", "crowd")
+    return classes.verified(pairs, similarity, "close")
+
+
+def links(members: DataFrame, classes: Classes, close: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """members (h, sig, n, k: elements in the prefix, early: within index_size), close: links so far -> links (a, b), enough to connect all similar pairs.
 
     A similar pair meets in the group of the first element they share at the latest, where the smaller of the two is early.
     """
+    groups = connected_components(close, Scratch(scratch.spark, "jaccard-close")).withColumnRenamed("node", "sig")
+    members = members.join(broadcast_by_bytes(groups), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    apart = F.col("component_a") != F.col("component_b")
     sizes = members.groupBy("h").agg(F.count("*").alias("members"))
     members = scratch.save("members", members.join(sizes, "h"))
-    few = members.where(F.col("members") <= crowd).select("h", "sig", "n", "early")
-    found = classes.verified(scratch.save("pairs", _pairs(few, few, similarity, F.col("sig_a") < F.col("sig_b"), _early("a", "b"))), similarity, "links")
+    few = members.where(F.col("members") <= crowd).select("h", "sig", "n", "early", "component")
+    pairs = scratch.save("pairs", _pairs(few, few, similarity, F.col("sig_a") < F.col("sig_b"), apart, _early("a", "b")))
+    found = close.union(classes.verified(pairs, similarity, "links"))
     many = members.where(F.col("members") > crowd)
     # A class with few elements of its own has most of its prefix in crowded groups.
     central = many.groupBy("sig").agg((F.count("*") / F.first("k")).alias("central"))
-    many = scratch.save("many", many.join(central, "sig").select("h", "sig", "n", "early", "central"))
+    many = scratch.save("many", many.join(central, "sig").select("h", "sig", "n", "early", "component", "central"))
     if many.isEmpty():
         return found
-    outside = many
+    outside = placed = many
     for turn in range(ROUNDS):
-        hub = outside.groupBy("h").agg(F.max_by(F.struct("sig", "n"), F.struct("central", "sig")).alias("hub")).select("h", "hub.sig", "hub.n")
-        star = scratch.save(f"star{turn}", _pairs(hub, many.select("h", "sig", "n"), similarity))
+        hub = outside.groupBy("h").agg(F.max_by(F.struct("sig", "n", "component"), F.struct("central", "sig")).alias("hub")).select("h", "hub.*")
+        star = scratch.save(f"star{turn}", _pairs(hub, placed.select("h", "sig", "n", "component"), similarity, apart))
         fresh = classes.verified(star, similarity, f"links{turn}")
         found = found.union(fresh)
         groups = connected_components(found, Scratch(scratch.spark, "jaccard-round"))
-        placed = many.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        placed = many.drop("component").join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         placed = scratch.save(f"placed{turn}", placed)
         held = placed.groupBy("h", "component").agg(F.count("*").alias("held"))
         largest = held.groupBy("h").agg(F.max_by("component", F.struct("held", "component")).alias("largest"))
         outside = scratch.save(f"outside{turn}", placed.join(largest, "h").where("component <> largest").drop("largest"))
-        if fresh.isEmpty() or outside.groupBy("h").count().where(F.col("count") > crowd).isEmpty():
+        if (turn and fresh.isEmpty()) or outside.groupBy("h").count().where(F.col("count") > crowd).isEmpty():
             break
     # Only early members look for larger sets, so that pages of one template, whose own words come first, don't all meet.
-    columns, apart = ["h", "sig", "n", "early", "component"], (F.col("component_a") != F.col("component_b"), F.col("n_a") <= F.col("n_b"), _early("a", "b"))
-    rest = _pairs(outside.where("early").select(columns), placed.select(columns), similarity, *apart)
-    rest = rest.union(_pairs(placed.where("early").select(columns), outside.select(columns), similarity, *apart)).distinct()
+    columns, met = ["h", "sig", "n", "early", "component"], (apart, F.col("n_a") <= F.col("n_b"), _early("a", "b"))
+    rest = _pairs(outside.where("early").select(columns), placed.select(columns), similarity, *met)
+    rest = rest.union(_pairs(placed.where("early").select(columns), outside.select(columns), similarity, *met)).distinct()
     return found.union(classes.verified(scratch.save("restpairs", rest), similarity, "rest"))
 
 
@@ -231,9 +255,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     ids = scratch.save("ids", rows.join(near, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
     sketches = scratch.save("sketches", prefixes.select("sig", "sketch").join(near, "sig").groupBy("sig").agg(F.min("sketch").alias("sketch")))
     known_classes = Classes(sketches, ids, known, shingle, scratch)
-    groups = connected_components(links(members, known_classes, scratch, similarity, crowd), scratch)
+    prints = prefixes.groupBy("sig").agg(F.min("fp").alias("fp"))
+    close = close_links(prints, known_classes, scratch, similarity)
+    groups = connected_components(links(members, known_classes, close, scratch, similarity, crowd), scratch)
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     out = scratch.save("out", rows.join(classes.join(least, "component").select("sig", "component_id"), "sig").select("doc_id", "component_id"))
-    scratch.drop("prefixes", "met", "grouped", "wanted", "sketches", "ids", "members", "pairs", "many", "restpairs", *[f"{x}{i}" for x in ("star", "placed", "outside") for i in range(ROUNDS)])
+    scratch.drop("prefixes", "met", "grouped", "wanted", "sketches", "ids", "members", "closepairs", "pairs", "many", "restpairs", *[f"{x}{i}" for x in ("star", "placed", "outside") for i in range(ROUNDS)])
     return out.unionByName(own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))

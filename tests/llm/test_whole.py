@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from canvass.llm import bpe, chat, decontaminate, jaccard, lz_dedup, pii, quality, queries, token_store
+from canvass.llm.common import Scratch
 
 
 def near_groups(rows):
@@ -61,6 +62,35 @@ def test_near_duplicate_stage_against_all_pairs(spark, crowd):
         assert kept == set(expected.values()) and len({expected[i] for i in range(96)}) < 80
 
 
+def test_near_duplicate_stage_links_by_fingerprints_first(spark, monkeypatch):
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(600)]
+    far = [f"far{k}" if k % 60 == 30 else w for k, w in enumerate(base)]
+    other = [f"o{draw.randrange(10**6)}" for _ in range(600)]
+    texts = [base, [*base, "end"], ["start", *base], [*base, "end"], far, other, [*other[:-1], "end"], other[:400], ["alone"] * 9]
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    written, save = {}, Scratch.save
+
+    def kept(self, name, df):
+        out = save(self, name, df)
+        if name in ("closepairs", "close", "pairs"):
+            written[name] = {(r.a, r.b) for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    stage = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    expected = near_groups(rows)
+    assert {r.doc_id for r in stage.collect()} == set(expected.values()) == {0, 5, 7, 8}
+    sets = {jaccard.signature(x): x.tolist() for x in (jaccard.elements(t) for _, t in rows)}
+    prints = {sig: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x)) for sig, x in sets.items()}
+    first = {fp: min(sig for sig in sets if prints[sig] == fp) for fp in prints.values()}  # stands for its fingerprint in the table
+    within = {(a, b) for a, b in itertools.combinations(sorted(first.values()), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    within |= {(first[fp], sig) for sig, fp in prints.items() if first[fp] != sig}
+    assert len(first) < len(prints) < len(first) + len(within) and written["closepairs"] == within
+    assert written["close"] == {(a, b) for a, b in within if 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})} != set()
+    assert written["pairs"] and not written["pairs"] & written["close"]  # the join looks for what is left: far's fingerprint is further off
+
+
 def test_short_and_unspaced_benchmark_items(spark):
     items = [(0, "Who wrote Hamlet?"), (1, "name the largest planet of our system"), (2, "法国的首都是哪个城市"), (3, "a b c d e f g h i j"), (4, "Oxygen"), (5, "..."), (6, "เมืองหลวงของไทยคืออะไร")]
     docs = [
